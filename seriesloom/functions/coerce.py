@@ -29,8 +29,7 @@ NA_TOKENS = [
 ]
 
 # Spark also reads '1d' and '1f' as numbers; metadata must not.
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_INFINITE = r"(?i)^[+-]?inf(inity)?$"
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))$"
 
 
 def blank_to_null(column: Column) -> Column:
@@ -40,8 +39,7 @@ def blank_to_null(column: Column) -> Column:
 def to_number(column: Column) -> Column:
     """Number in a text or numeric column, null when it is not one."""
     text = F.trim(column.cast("string"))
-    looks_numeric = text.rlike(_NUMBER) | text.rlike(_INFINITE)
-    return F.when(looks_numeric, text.try_cast("double"))
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def number_or_zero(column: Column) -> Column:

@@ -19,17 +19,6 @@ CASCADE_WORDS = {
     "fieldmap": ["fieldmap", "field", "b0", "shim"],
     "perfusion": ["asl", "perfusion", "pcasl", "pasl"],
 }
-CHECKED_SUFFIXES = [
-    ("anat", "T1w"),
-    ("anat", "T2w"),
-    ("anat", "FLAIR"),
-    ("func", "bold"),
-    ("dwi", "dwi"),
-    ("fmap", "magnitude"),
-    ("fmap", "phasediff"),
-    ("fmap", "fieldmap"),
-    ("perf", "asl"),
-]
 AP_WORDS = ["ap", "anterior", "posterior"]
 PA_WORDS = ["pa", "posterior", "anterior"]
 
@@ -82,82 +71,77 @@ def direction_label(text: Column) -> Column:
     )
 
 
-def classify(
-    text: Column,
-    rows: Column,
-    columns: Column,
-    timepoints: Column,
-    checked: Column,
-    default_modality: Column,
-    default_suffix: Column,
-) -> dict[str, Column]:
-    """Datatype, suffix, task, direction and confidence of one search text.
-
-    ``checked`` is a struct of booleans named ``<datatype>_<suffix>``: whether the catalog has
-    that suffix. A branch whose suffix it lacks keeps the defaults, except that a fieldmap
-    always sets datatype and confidence.
-    """
+def branch_of(text: Column) -> Column:
+    """Name of the first cascade row with a word in the text; null when none has."""
+    branch = None
+    for name, words in CASCADE_WORDS.items():
+        hit = mentions(text, words)
+        branch = F.when(hit, F.lit(name)) if branch is None else branch.when(hit, F.lit(name))
+    return branch
 
-    def known(datatype: str, suffix: str) -> Column:
-        return checked.getField(f"{datatype}_{suffix}")
 
-    hit = {name: mentions(text, words) for name, words in CASCADE_WORDS.items()}
-    branch = F.when(hit["T1"], F.lit("T1"))
-    for name in list(CASCADE_WORDS)[1:]:
-        branch = branch.when(hit[name], F.lit(name))
+def base_class(
+    text: Column, branch: Column, valid: dict[str, list[str]], default: tuple[str, str]
+) -> dict[str, Column]:
+    """Datatype, suffix and confidence of a branch.
 
-    # One (condition, datatype, suffix, confidence) row per outcome of the cascade.
+    ``valid`` lists the catalog's suffixes per datatype. A branch whose suffix the catalog lacks
+    keeps the default, except that a fieldmap always sets datatype and confidence.
+    """
+    flair = text.contains("flair")
+    # (condition, datatype, suffix, confidence) in cascade order.
     outcomes = [
-        ((branch == "T1") & known("anat", "T1w"), "anat", "T1w", 0.9),
-        (
-            (branch == "T2") & text.contains("flair") & known("anat", "FLAIR"),
-            "anat",
-            "FLAIR",
-            0.9,
-        ),
-        ((branch == "T2") & ~text.contains("flair") & known("anat", "T2w"), "anat", "T2w", 0.9),
-        ((branch == "functional") & known("func", "bold"), "func", "bold", 0.9),
-        ((branch == "diffusion") & known("dwi", "dwi"), "dwi", "dwi", 0.9),
-        ((branch == "perfusion") & known("perf", "asl"), "perf", "asl", 0.9),
+        (branch == "T1", "anat", "T1w", 0.9),
+        ((branch == "T2") & flair, "anat", "FLAIR", 0.9),
+        ((branch == "T2") & ~flair, "anat", "T2w", 0.9),
+        (branch == "functional", "func", "bold", 0.9),
+        (branch == "diffusion", "dwi", "dwi", 0.9),
+        (branch == "perfusion", "perf", "asl", 0.9),
     ]
-    fieldmap = branch == "fieldmap"
-    magnitude = text.contains("magnitude")
-    phase = ~magnitude & text.contains("phase")
-    fieldmap_suffix = (
-        F.when(magnitude & known("fmap", "magnitude"), F.lit("magnitude"))
-        .when(phase & known("fmap", "phasediff"), F.lit("phasediff"))
-        .when(~magnitude & ~phase & known("fmap", "fieldmap"), F.lit("fieldmap"))
-        .otherwise(default_suffix)
+    subtype = F.when(text.contains("magnitude"), F.lit("magnitude")).when(
+        text.contains("phase"), F.lit("phasediff")
+    ).otherwise(F.lit("fieldmap"))
+    fieldmap_suffix = F.when(subtype.isin(valid.get("fmap", [])), subtype).otherwise(
+        F.lit(default[1])
     )
-
-    modality = F.when(fieldmap, F.lit("fmap"))
-    suffix = F.when(fieldmap, fieldmap_suffix)
-    confidence = F.when(fieldmap, F.lit(0.8))
+    is_fieldmap = branch == "fieldmap"
+    modality = F.when(is_fieldmap, F.lit("fmap"))
+    suffix = F.when(is_fieldmap, fieldmap_suffix)
+    confidence = F.when(is_fieldmap, F.lit(0.8))
     for condition, datatype, suffix_name, score in outcomes:
+        if suffix_name not in valid.get(datatype, []):
+            continue
         modality = modality.when(condition, F.lit(datatype))
         suffix = suffix.when(condition, F.lit(suffix_name))
         confidence = confidence.when(condition, F.lit(score))
-    modality = modality.otherwise(default_modality)
-    suffix = suffix.otherwise(default_suffix)
-    confidence = confidence.otherwise(F.lit(0.0))
-
-    # Several time points mean a functional run; a fine matrix makes "functional" less likely.
-    is_series = (timepoints > 1) & (modality == "anat")
-    final_modality = F.when(is_series, F.lit("func")).otherwise(modality)
-    lifted = F.when(is_series, F.greatest(F.lit(0.6), confidence)).otherwise(confidence)
-    is_fine = ((rows >= 512) | (columns >= 512)) & (final_modality == "func")
     return {
-        "modality": final_modality,
-        "suffix": F.when(is_series, F.lit("bold")).otherwise(suffix),
-        "task": F.when(branch == "functional", task_label(text)),
-        "direction": F.when(branch == "diffusion", direction_label(text)),
-        "confidence": F.when(is_fine, F.greatest(F.lit(0.3), lifted - F.lit(0.2))).otherwise(
-            lifted
-        ),
+        "modality": modality.otherwise(F.lit(default[0])),
+        "suffix": suffix.otherwise(F.lit(default[1])),
+        "confidence": confidence.otherwise(F.lit(0.0)),
+    }
+
+
+def as_time_series(
+    modality: Column, suffix: Column, confidence: Column, timepoints: Column
+) -> dict[str, Column]:
+    """Several time points turn an anatomical scan into a functional one."""
+    several = (timepoints > 1) & (modality == "anat")
+    return {
+        "modality": F.when(several, F.lit("func")).otherwise(modality),
+        "suffix": F.when(several, F.lit("bold")).otherwise(suffix),
+        "confidence": F.when(several, F.greatest(F.lit(0.6), confidence)).otherwise(confidence),
     }
 
 
-def last_resort(protocol: Column, description: Column, mri_datatypes: Column) -> Column:
+def fine_matrix_penalty(
+    modality: Column, confidence: Column, rows: Column, columns: Column
+) -> Column:
+    """A fine matrix makes "functional" less likely."""
+    fine = ((rows >= 512) | (columns >= 512)) & (modality == "func")
+    return F.when(fine, F.greatest(F.lit(0.3), confidence - F.lit(0.2))).otherwise(confidence)
+
+
+def last_resort(protocol: Column, description: Column, mri_datatypes: list[str]) -> Column:
     """Mapping struct from protocol and description joined *without* a separator."""
     blank = F.lit("")
     text = F.lower(F.concat(F.coalesce(protocol, blank), F.coalesce(description, blank)))
@@ -178,13 +162,13 @@ def last_resort(protocol: Column, description: Column, mri_datatypes: Column) ->
 
     result = None
     for words, datatype, suffix, task, path in LAST_RESORT:
-        allowed = F.array_contains(mri_datatypes, F.lit(datatype))
+        allowed = datatype in mri_datatypes
         outcome = mapping(
-            F.when(allowed, F.lit(datatype)).otherwise(F.lit(UNKNOWN)),
+            F.lit(datatype if allowed else UNKNOWN),
             suffix,
             task,
             0.6,
-            F.when(allowed, F.lit(path)).otherwise(F.lit(UNMAPPED)),
+            F.lit(path if allowed else UNMAPPED),
         )
         condition = mentions(text, words)
         result = F.when(condition, outcome) if result is None else result.when(condition, outcome)

@@ -17,22 +17,23 @@ def path_template(
     modality: Column,
     suffix: Column,
     entities: Column,
-    order: Column,
+    order: list[str],
     include_session: bool = True,
 ) -> Column:
-    """Path pattern with entities in catalog order; subject and session lead that order."""
-
-    def part(name: Column) -> Column:
-        value = F.try_element_at(entities, name)
-        return (
-            F.when(~F.map_contains_key(entities, name), F.lit(None))
-            .when(name == "run", F.lit("run-{item:02d}"))
-            .otherwise(F.concat(name, F.lit("-"), value))
-        )
+    """Path pattern with entities in catalog order; subject and session lead that order.
+
+    The order is known when the plan is built, so this is one flat expression per entity and
+    not a lambda, which would leave generated code.
+    """
+
+    def part(name: str) -> Column:
+        given = F.map_contains_key(entities, name)
+        if name == "run":
+            return F.when(given, F.lit("run-{item:02d}"))
+        return F.when(given, F.concat(F.lit(f"{name}-"), F.try_element_at(entities, F.lit(name))))
 
-    others = F.transform(F.slice(order, F.lit(3), F.greatest(F.size(order), F.lit(1))), part)
     lead = ["sub-{subject}", "{session}"] if include_session else ["sub-{subject}"]
-    stem = F.concat_ws("_", *[F.lit(p) for p in lead], others, suffix)
+    stem = F.concat_ws("_", *[F.lit(p) for p in lead], *[part(n) for n in order[2:]], suffix)
     return F.concat_ws("/", *[F.lit(p) for p in lead], modality, stem)
 
 
@@ -77,9 +78,9 @@ def last_per_key(entries: Column) -> Column:
 
 def check_path(
     path: Column,
-    datatypes: Column,
-    suffixes_by_datatype: Column,
-    entity_names: Column,
+    datatypes: list[str],
+    suffixes: dict[str, list[str]],
+    entity_names: list[str],
 ) -> Column:
     """Struct ``valid, errors, warnings, entities`` for one path."""
     none = F.array().cast("array<string>")
@@ -90,10 +91,14 @@ def check_path(
     stem = file_stem(file_name)
     suffix = stem_suffix(stem)
     entities = stem_entities(stem)
-    valid_suffixes = F.coalesce(F.try_element_at(suffixes_by_datatype, datatype), none)
-
-    def listed(names: Column) -> Column:
-        return F.concat(F.lit("["), F.array_join(names, ", "), F.lit("]"))
+    listed = "[" + ", ".join(datatypes) + "]"
+    suffix_valid = F.lit(False)
+    valid_list = F.lit("[]")
+    for name, allowed in suffixes.items():
+        suffix_valid = F.when(datatype == name, suffix.isin(allowed)).otherwise(suffix_valid)
+        valid_list = F.when(datatype == name, F.lit("[" + ", ".join(allowed) + "]")).otherwise(
+            valid_list
+        )
 
     bad_prefix = F.when(
         ~F.get(parts, F.lit(0)).startswith("sub-"),
@@ -106,29 +111,27 @@ def check_path(
     odd_extension = ~_ends_with_any(file_name, EXTENSIONS)
     fixed_warnings = F.array(
         F.when(
-            ~F.array_contains(datatypes, datatype),
-            F.concat(
-                F.lit("Modality '"), datatype, F.lit("' not in standard list: "), listed(datatypes)
-            ),
+            ~datatype.isin(datatypes),
+            F.concat(F.lit("Modality '"), datatype, F.lit(f"' not in standard list: {listed}")),
         ),
         F.when(
             odd_extension,
             F.concat(F.lit("Unusual file extension in '"), file_name, F.lit("'")),
         ),
         F.when(
-            ~F.array_contains(valid_suffixes, suffix),
+            ~suffix_valid,
             F.concat(
                 F.lit("Suffix '"),
                 suffix,
                 F.lit("' not standard for modality '"),
                 datatype,
                 F.lit("'. Valid: "),
-                listed(valid_suffixes),
+                valid_list,
             ),
         ),
     )
     entity_warnings = F.transform(
-        F.filter(entities, lambda e: ~F.array_contains(entity_names, e["key"])),
+        F.filter(entities, lambda e: ~e["key"].isin(entity_names)),
         lambda e: F.concat(F.lit("Entity '"), e["key"], F.lit("' not in BIDS schema")),
     )
     warnings = F.when(too_short, none).otherwise(
@@ -151,7 +154,7 @@ def _ends_with_any(text: Column, endings: list[str]) -> Column:
     return result
 
 
-def repair_mapping(mapping: Column, mri_datatypes: Column) -> Column:
+def repair_mapping(mapping: Column, mri_datatypes: list[str]) -> Column:
     """Defaults, datatype check and path rebuild for one model mapping.
 
     ``mapping`` is a struct of texts plus an entity map. An unknown datatype halves the
@@ -159,7 +162,7 @@ def repair_mapping(mapping: Column, mri_datatypes: Column) -> Column:
     """
     empty = F.create_map().cast(EMPTY_MAP)
     given = mapping["bids_modality"]
-    known = F.coalesce(F.array_contains(mri_datatypes, given), F.lit(False))
+    known = F.coalesce(given.isin(mri_datatypes), F.lit(False))
     modality = F.when(known, given).otherwise(F.lit(UNKNOWN))
     suffix = F.coalesce(mapping["bids_suffix"], F.lit(UNKNOWN))
     entities = F.coalesce(mapping["bids_entities"], empty)

@@ -1,20 +1,15 @@
-"""Standard catalog as dimension tables, and the joins that hold tables of names against it.
-
-A catalog has a few hundred entries. The built-in one is made of literal rows; one read from a
-file is size-checked by ``load_catalog`` before anything relies on it being small.
-"""
+"""A standard's vocabulary, and the joins that hold tables of names against it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from seriesloom.functions import naming
-from seriesloom.functions.keywords import CHECKED_SUFFIXES
 
 # Datatypes of magnetic resonance imaging, in fallback order.
 MRI_DATATYPES = ["anat", "func", "fmap", "dwi", "perf"]
@@ -62,77 +57,80 @@ DATATYPE_ENTITIES = {
 }
 
 VERSION_PATTERN = r"^\d+\.\d+\.\d+"
-MAX_CATALOG_ROWS = 100_000
+MAX_CATALOG_ROWS = 20_000
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One naming rule of one datatype. ``source`` is ``raw`` or ``common``."""
+
+    source: str
+    rule_name: str
+    datatype: str
+    suffixes: tuple[str, ...]
+    entities: tuple[str, ...]
+    extensions: tuple[str, ...]
 
 
 @dataclass(frozen=True)
 class Catalog:
-    """Dimension tables.
+    """A standard's vocabulary: configuration of a job, a few hundred entries.
 
-    ``modalities(modality, pos)``, ``modality_datatypes(modality, datatype, pos)``,
-    ``datatypes(datatype, display_name, description)``,
-    ``entities(entity, short_name, description, format, pos)``,
-    ``entity_order(entity, pos)``,
-    ``rules(source, rule_name, pos, datatype, suffixes, entities, extensions)``.
+    Its size is checked when it is read (``load_catalog``), so expressions may carry it as
+    literals and joins may broadcast its tables.
     """
 
+    spark: SparkSession
     version: str
-    modalities: DataFrame
-    modality_datatypes: DataFrame
-    datatypes: DataFrame
-    entities: DataFrame
-    entity_order: DataFrame
-    rules: DataFrame
+    modalities: tuple[str, ...]
+    modality_datatypes: dict[str, tuple[str, ...]]
+    # name -> (display name, description)
+    datatypes: dict[str, tuple[str, str]]
+    # name -> (short name, description, format)
+    entities: dict[str, tuple[str, str, str]]
+    entity_order: tuple[str, ...]
+    rules: tuple[Rule, ...]
 
+    def raw_rules(self, datatype: str) -> list[Rule]:
+        return [r for r in self.rules if r.source == "raw" and r.datatype == datatype]
 
-# --- building a catalog ---------------------------------------------------------------------
+    def datatype_names(self) -> list[str]:
+        return _in_order(d for members in self.modality_datatypes.values() for d in members)
 
+    def short_name(self, entity: str) -> str:
+        return self.entities[entity][0] if entity in self.entities else entity
 
-def _quote(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    def short_order(self) -> list[str]:
+        return [self.short_name(e) for e in self.entity_order]
 
 
-def _literal_table(spark: SparkSession, columns: str, rows: list[str]) -> DataFrame:
-    # VALUES gives the optimizer exact sizes, so joins with it broadcast by themselves.
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
+def _in_order(values: Iterable[str]) -> list[str]:
+    """Distinct values, first occurrence first."""
+    return list(dict.fromkeys(values))
 
 
-def seed_catalog(spark: SparkSession) -> Catalog:
-    def strings(values: list[str]) -> str:
-        return f"array({', '.join(_quote(v) for v in values)})"
+# --- building a catalog ---------------------------------------------------------------------
 
+
+def seed_catalog(spark: SparkSession) -> Catalog:
     return Catalog(
+        spark=spark,
         version="seed",
-        modalities=_literal_table(spark, "modality, pos", ["('mri', 0)"]),
-        modality_datatypes=_literal_table(
-            spark,
-            "modality, datatype, pos",
-            [f"('mri', {_quote(d)}, {i})" for i, d in enumerate(MRI_DATATYPES)],
-        ),
-        datatypes=_literal_table(
-            spark,
-            "datatype, display_name, description",
-            [f"({_quote(d)}, {_quote(d)}, '')" for d in MRI_DATATYPES],
-        ),
-        entities=_literal_table(
-            spark,
-            "entity, short_name, description, format, pos",
-            [
-                f"({_quote(e)}, {_quote(ENTITY_SHORT[e])}, '', 'string', {i})"
-                for i, e in enumerate(ENTITY_ORDER)
-            ],
-        ),
-        entity_order=_literal_table(
-            spark, "entity, pos", [f"({_quote(e)}, {i})" for i, e in enumerate(ENTITY_ORDER)]
-        ),
-        rules=_literal_table(
-            spark,
-            "source, rule_name, pos, datatype, suffixes, entities, extensions",
-            [
-                f"('raw', {_quote(d)}, {i}, {_quote(d)}, {strings(DATATYPE_SUFFIXES[d])}, "
-                f"{strings(DATATYPE_ENTITIES[d])}, {strings(naming.EXTENSIONS)})"
-                for i, d in enumerate(MRI_DATATYPES)
-            ],
+        modalities=("mri",),
+        modality_datatypes={"mri": tuple(MRI_DATATYPES)},
+        datatypes={d: (d, "") for d in MRI_DATATYPES},
+        entities={e: (ENTITY_SHORT[e], "", "string") for e in ENTITY_ORDER},
+        entity_order=tuple(ENTITY_ORDER),
+        rules=tuple(
+            Rule(
+                "raw",
+                d,
+                d,
+                tuple(DATATYPE_SUFFIXES[d]),
+                tuple(DATATYPE_ENTITIES[d]),
+                tuple(naming.EXTENSIONS),
+            )
+            for d in MRI_DATATYPES
         ),
     )
 
@@ -214,70 +212,31 @@ def _names(text: Column, of_mapping: str) -> Column:
 
 
 def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROWS) -> Catalog:
-    """Catalog from one JSON document, flattened to dimension tables."""
+    """Catalog from one JSON document.
+
+    Parsing and flattening run in Spark; the resulting vocabulary is fetched after a check that
+    it has no more than ``max_rows`` rules and names.
+    """
     tree = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
+    no_names = F.array().cast("array<string>")
 
-    def flat(entries: Column, *columns: Column) -> DataFrame:
-        return tree.select(F.posexplode(F.map_entries(entries)).alias("pos", "e")).select(*columns)
+    def named(kind: str, map_column: str) -> DataFrame:
+        return tree.select(F.posexplode(F.map_entries(map_column)).alias("pos", "e")).select(
+            F.lit(kind).alias("kind"),
+            "pos",
+            F.col("e.key").alias("name"),
+            F.col("e.value.display_name").alias("display_name"),
+            F.col("e.value.name").alias("short_name"),
+            F.col("e.value.description").alias("description"),
+            F.col("e.value.format").alias("format"),
+            F.col("e.value.order").try_cast("int").alias("rank"),
+        )
 
-    modalities = flat(F.col("objects.modalities"), F.col("e.key").alias("modality"), F.col("pos"))
-    declared = tree.select(
-        F.explode(F.map_entries("rules.modalities")).alias("e")
-    ).select(
-        F.col("e.key").alias("modality"),
-        F.posexplode("e.value.datatypes").alias("pos", "datatype"),
-    )
-    fallback = _literal_table(
-        spark,
-        "modality, datatype, pos",
-        [f"('mri', {_quote(d)}, {i})" for i, d in enumerate(MRI_DATATYPES)],
-    )
-    has_mri = declared.where("modality = 'mri'").select(F.lit(1).alias("one"))
-    modality_datatypes = declared.select("modality", "datatype", "pos").unionByName(
-        fallback.join(has_mri, F.lit(True), "left_anti")
+    names = (
+        named("modality", "objects.modalities")
+        .unionByName(named("datatype", "objects.datatypes"))
+        .unionByName(named("entity", "objects.entities"))
     )
-    datatypes = flat(
-        F.col("objects.datatypes"),
-        F.col("e.key").alias("datatype"),
-        F.coalesce("e.value.display_name", "e.key").alias("display_name"),
-        F.coalesce("e.value.description", F.lit("")).alias("description"),
-    )
-    entities = flat(
-        F.col("objects.entities"),
-        F.col("e.key").alias("entity"),
-        F.coalesce("e.value.name", "e.key").alias("short_name"),
-        F.coalesce("e.value.description", F.lit("")).alias("description"),
-        F.coalesce("e.value.format", F.lit("string")).alias("format"),
-        F.col("e.value.order").try_cast("int").alias("rank"),
-        F.col("pos"),
-    )
-    # Three sources in turn: the rule list, the 'order' fields, the default list.
-    ranked = F.transform(
-        F.array_sort(
-            F.filter(
-                F.transform(
-                    F.map_entries("objects.entities"),
-                    lambda e, i: F.struct(
-                        e["value"]["order"].try_cast("int").alias("rank"),
-                        i.alias("pos"),
-                        e["key"].alias("entity"),
-                    ),
-                ),
-                lambda e: e["rank"].isNotNull(),
-            )
-        ),
-        lambda e: e["entity"],
-    )
-    order = tree.select(
-        F.posexplode(
-            F.coalesce(
-                F.when(F.size("rules.entities") > 0, F.col("rules.entities")),
-                F.when(F.size(ranked) > 0, ranked),
-                F.array(*[F.lit(e) for e in ENTITY_ORDER]),
-            )
-        ).alias("pos", "entity")
-    ).select("entity", "pos")
-    no_names = F.array().cast("array<string>")
     raw = (
         tree.select(F.posexplode(F.map_entries("rules.files.raw")).alias("outer", "d"))
         .select(
@@ -288,7 +247,8 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
         .select(
             F.lit("raw").alias("source"),
             F.col("r.key").alias("rule_name"),
-            (F.col("outer") * 1000 + F.col("inner")).alias("pos"),
+            "outer",
+            "inner",
             "datatype",
             _names(F.col("r.value.suffixes"), "values").alias("suffixes"),
             # A list of entities is not a rule's entity mapping and is left out.
@@ -301,6 +261,7 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
             _names(F.col("r.value.extensions"), "values").alias("extensions"),
         )
     )
+    # Shared rules come as a list or as a mapping; either way each is one rule per datatype.
     common_text = F.col("rules.files.common")
     common_rules = F.when(
         common_text.rlike(r"^\s*\["), F.from_json(common_text, T.ArrayType(_RULE))
@@ -311,205 +272,210 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
     common = (
         tree.select(F.posexplode(common_rules).alias("outer", "r"))
         .select(
-            "outer",
-            "r",
-            F.explode(_names(F.col("r.datatypes"), "values")).alias("datatype"),
+            "outer", "r", F.posexplode(_names(F.col("r.datatypes"), "values")).alias("inner", "d")
         )
         .select(
             F.lit("common").alias("source"),
             F.concat(F.lit("common_"), F.col("outer").cast("string")).alias("rule_name"),
-            (F.lit(1_000_000) + F.col("outer")).alias("pos"),
-            "datatype",
+            "outer",
+            "inner",
+            F.col("d").alias("datatype"),
             _names(F.col("r.suffixes"), "values").alias("suffixes"),
             _names(F.col("r.entities"), "keys").alias("entities"),
             _names(F.col("r.extensions"), "values").alias("extensions"),
         )
     )
-    rules = raw.unionByName(common)
-    rows = rules.limit(max_rows + 1).count()
-    if rows > max_rows:
-        raise ValueError(f"catalog has more than {max_rows} rules; it is meant to be small")
-    version = tree.select("schema_version").first()
+    rules = _bounded(raw.unionByName(common), max_rows)
+    vocabulary = sorted(_bounded(names, max_rows), key=lambda r: r["pos"])
+    # One document is one row; its lists were bounded by the reader.
+    top = tree.select(
+        "schema_version", "rules.entities", F.col("rules.modalities").alias("modalities")
+    ).first()
+    declared = {
+        name: tuple(value["datatypes"] or ())
+        for name, value in ((top and top["modalities"]) or {}).items()
+    }
+    if not declared.get("mri"):
+        declared["mri"] = tuple(MRI_DATATYPES)
+    entities = [r for r in vocabulary if r["kind"] == "entity"]
+    ranked = sorted((r for r in entities if r["rank"] is not None), key=lambda r: r["rank"])
+    order = (top and top["entities"]) or [r["name"] for r in ranked] or ENTITY_ORDER
+    rules.sort(key=lambda r: (r["source"] != "raw", r["outer"], r["inner"]))
     return Catalog(
-        version=(version[0] if version else None) or "unknown",
-        modalities=modalities,
-        modality_datatypes=modality_datatypes,
-        datatypes=datatypes,
-        entities=entities.select("entity", "short_name", "description", "format", "pos"),
-        entity_order=order,
-        rules=rules,
+        spark=spark,
+        version=(top and top["schema_version"]) or "unknown",
+        modalities=tuple(r["name"] for r in vocabulary if r["kind"] == "modality"),
+        modality_datatypes=declared,
+        datatypes={
+            r["name"]: (r["display_name"] or r["name"], r["description"] or "")
+            for r in vocabulary
+            if r["kind"] == "datatype"
+        },
+        entities={
+            r["name"]: (
+                r["short_name"] or r["name"],
+                r["description"] or "",
+                r["format"] or "string",
+            )
+            for r in entities
+        },
+        entity_order=tuple(order),
+        rules=tuple(
+            Rule(
+                r["source"],
+                r["rule_name"],
+                r["datatype"],
+                tuple(r["suffixes"]),
+                tuple(r["entities"]),
+                tuple(r["extensions"]),
+            )
+            for r in rules
+        ),
     )
 
 
-def is_version(text: Column) -> Column:
-    return text.rlike(VERSION_PATTERN)
-
-
-# --- dimensions -----------------------------------------------------------------------------
+def _bounded(df: DataFrame, max_rows: int) -> list:
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a catalog may not have more than {max_rows} entries")
+    return rows
 
 
-def datatype_suffixes(catalog: Catalog) -> DataFrame:
-    """``(datatype, suffix, pos)``, first occurrence first; ``mri`` unites its datatypes."""
-    raw = catalog.rules.where("source = 'raw'")
-    own = raw.select(
-        "datatype", F.col("pos").alias("rule_pos"), F.posexplode("suffixes").alias("i", "suffix")
-    )
-    own = own.groupBy("datatype", "suffix").agg(
-        F.min(F.struct("rule_pos", "i")).alias("first_seen")
-    )
-    mri = (
-        own.join(
-            catalog.modality_datatypes.where("modality = 'mri'").select(
-                "datatype", F.col("pos").alias("member")
-            ),
-            "datatype",
-        )
-        .groupBy("suffix")
-        .agg(F.min(F.struct("member", "first_seen")).alias("first_seen"))
-    )
-    by_datatype = W.partitionBy("datatype").orderBy("first_seen")
-    listed = own.select(
-        "datatype", "suffix", (F.row_number().over(by_datatype) - 1).alias("pos")
-    )
-    as_mri = mri.select(F.lit("mri").alias("datatype"), "suffix", "first_seen")
-    return listed.unionByName(
-        as_mri.select("datatype", "suffix", (F.row_number().over(by_datatype) - 1).alias("pos"))
-    )
+def is_version(text: Column) -> Column:
+    return text.rlike(VERSION_PATTERN)
 
 
-def datatype_entities(catalog: Catalog) -> DataFrame:
-    """``(datatype, entity, short_name, pos)``, first occurrence first."""
-    by_datatype = W.partitionBy("datatype").orderBy("first_seen")
-    return (
-        catalog.rules.where("source = 'raw'")
-        .select(
-            "datatype",
-            F.col("pos").alias("rule_pos"),
-            F.posexplode("entities").alias("i", "entity"),
-        )
-        .groupBy("datatype", "entity")
-        .agg(F.min(F.struct("rule_pos", "i")).alias("first_seen"))
-        .select("datatype", "entity", (F.row_number().over(by_datatype) - 1).alias("pos"))
-        .join(catalog.entities.select("entity", "short_name"), "entity", "left")
-        .select(
-            "datatype",
-            "entity",
-            F.coalesce("short_name", "entity").alias("short_name"),
-            "pos",
-        )
-    )
+# --- vocabulary -----------------------------------------------------------------------------
 
 
-def rules_of(catalog: Catalog, datatype: str) -> DataFrame:
-    """Rules that apply to one datatype, shared rules included."""
-    return catalog.rules.where(F.col("datatype") == datatype)
+def mri_datatypes(catalog: Catalog) -> list[str]:
+    return list(catalog.modality_datatypes.get("mri", MRI_DATATYPES))
 
 
-def entity_suffix_combinations(catalog: Catalog) -> DataFrame:
-    """One row per rule and suffix with the entities that may go with it."""
-    return catalog.rules.select(
-        "datatype", "rule_name", "pos", F.explode("suffixes").alias("suffix"), "entities"
-    )
+def valid_suffixes(catalog: Catalog, datatype: str) -> list[str]:
+    """Suffixes of a datatype, first occurrence first; ``mri`` unites its datatypes."""
+    members = mri_datatypes(catalog) if datatype == "mri" else [datatype]
+    return _in_order(s for d in members for rule in catalog.raw_rules(d) for s in rule.suffixes)
 
 
-def mri_datatypes(catalog: Catalog) -> DataFrame:
-    return catalog.modality_datatypes.where("modality = 'mri'").select("datatype", "pos")
+def valid_entities(catalog: Catalog, datatype: str) -> list[str]:
+    rules = catalog.raw_rules(datatype)
+    if not rules:
+        raise ValueError(f"the catalog has no datatype '{datatype}'")
+    return _in_order(e for rule in rules for e in rule.entities)
 
 
-def datatype_rollup(catalog: Catalog) -> DataFrame:
-    """Datatype, display name, description and sorted suffixes."""
-    suffixes = (
-        catalog.rules.where("source = 'raw'")
-        .select("datatype", F.explode("suffixes").alias("suffix"))
-        .groupBy("datatype")
-        .agg(F.array_sort(F.collect_set("suffix")).alias("suffixes"))
-    )
-    return (
-        mri_datatypes(catalog)
-        .join(catalog.datatypes, "datatype", "left")
-        .join(suffixes, "datatype", "left")
-        .select(
-            "datatype",
-            "pos",
-            F.coalesce("display_name", "datatype").alias("display_name"),
-            F.coalesce("description", F.lit("")).alias("description"),
-            F.coalesce("suffixes", F.array().cast("array<string>")).alias("suffixes"),
-        )
-    )
+def default_modality(catalog: Catalog) -> str:
+    if not catalog.modalities:
+        raise ValueError("the catalog has no modalities")
+    return catalog.modalities[0]
 
 
-# --- one-row values used inside expressions ---------------------------------------------------
+def default_suffix(catalog: Catalog) -> str:
+    suffixes = valid_suffixes(catalog, default_modality(catalog))
+    if not suffixes:
+        raise ValueError(f"no suffix for modality '{default_modality(catalog)}'")
+    return suffixes[0]
 
 
-def _ordered(df: DataFrame, name: str) -> Column:
-    listed = F.array_sort(F.collect_list(F.struct("pos", name)))
-    return df.agg(F.transform(listed, lambda e: e[name]).alias("names")).scalar()
+# --- dimension tables -------------------------------------------------------------------------
 
 
-def entity_order_array(catalog: Catalog) -> Column:
-    return _ordered(catalog.entity_order, "entity")
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def mri_datatype_array(catalog: Catalog) -> Column:
-    return _ordered(mri_datatypes(catalog), "datatype")
+def _texts(values: Iterable[str]) -> str:
+    return f"CAST(array({', '.join(_text(v) for v in values)}) AS array<string>)"
 
 
-def datatype_array(catalog: Catalog) -> Column:
-    return _ordered(catalog.modality_datatypes.dropDuplicates(["datatype"]), "datatype")
+def _table(catalog: Catalog, columns: str, rows: list[str]) -> DataFrame:
+    """Literal rows: the optimizer knows their exact size and broadcasts them by itself."""
+    if not rows:
+        raise ValueError("the catalog has no rules")
+    return catalog.spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
 
 
-def modality_array(catalog: Catalog) -> Column:
-    return _ordered(catalog.modalities, "modality")
+def datatype_suffixes(catalog: Catalog) -> DataFrame:
+    """``(datatype, suffix, pos)`` with ``mri`` as one more datatype."""
+    names = _in_order(["mri", *(r.datatype for r in catalog.rules)])
+    return _table(
+        catalog,
+        "datatype, suffix, pos",
+        [
+            f"({_text(d)}, {_text(s)}, {i})"
+            for d in names
+            for i, s in enumerate(valid_suffixes(catalog, d))
+        ],
+    )
 
 
-def entity_name_array(catalog: Catalog, short: bool = True) -> Column:
-    return _ordered(catalog.entities, "short_name" if short else "entity")
+def datatype_entities(catalog: Catalog) -> DataFrame:
+    """``(datatype, entity, short_name, pos)``."""
+    names = _in_order(r.datatype for r in catalog.rules if r.source == "raw")
+    return _table(
+        catalog,
+        "datatype, entity, short_name, pos",
+        [
+            f"({_text(d)}, {_text(e)}, {_text(catalog.short_name(e))}, {i})"
+            for d in names
+            for i, e in enumerate(valid_entities(catalog, d))
+        ],
+    )
+
+
+def rules_table(catalog: Catalog, datatype: str | None = None) -> DataFrame:
+    """All rules, or those of one datatype, shared rules included."""
+    table = _table(
+        catalog,
+        "source, rule_name, pos, datatype, suffixes, entities, short_names, extensions",
+        [
+            f"({_text(r.source)}, {_text(r.rule_name)}, {i}, {_text(r.datatype)}, "
+            f"{_texts(r.suffixes)}, {_texts(r.entities)}, "
+            f"{_texts(catalog.short_name(e) for e in r.entities)}, {_texts(r.extensions)})"
+            for i, r in enumerate(catalog.rules)
+        ],
+    )
+    return table if datatype is None else table.where(F.col("datatype") == datatype)
 
 
-def suffix_map(catalog: Catalog) -> Column:
-    """Map datatype -> suffixes in catalog order."""
-    per_datatype = (
-        datatype_suffixes(catalog)
-        .groupBy("datatype")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "suffix"))).alias("s"))
-        .select("datatype", F.transform("s", lambda e: e["suffix"]).alias("suffixes"))
+def entity_suffix_combinations(catalog: Catalog) -> DataFrame:
+    """One row per rule and suffix with the entities that may go with it."""
+    return rules_table(catalog).select(
+        "datatype",
+        "rule_name",
+        "pos",
+        F.explode("suffixes").alias("suffix"),
+        "entities",
+        "short_names",
     )
-    return per_datatype.agg(
-        F.map_from_entries(F.collect_list(F.struct("datatype", "suffixes"))).alias("m")
-    ).scalar()
-
-
-def checked_suffixes(catalog: Catalog) -> Column:
-    """Struct of booleans ``<datatype>_<suffix>`` for the suffixes the keyword rules use."""
-    dimension = datatype_suffixes(catalog)
-    flags = [
-        F.coalesce(
-            F.bool_or((F.col("datatype") == datatype) & (F.col("suffix") == suffix)), F.lit(False)
-        ).alias(f"{datatype}_{suffix}")
-        for datatype, suffix in CHECKED_SUFFIXES
-    ]
-    return dimension.agg(*flags).select(F.struct("*").alias("flags")).scalar()
 
 
-def default_modality(catalog: Catalog) -> Column:
-    return catalog.modalities.agg(F.min_by("modality", "pos").alias("m")).scalar()
+def datatype_rollup(catalog: Catalog) -> dict[str, dict]:
+    """Datatype -> name, description and sorted suffixes, as prompts show them."""
+    rollup = {}
+    for datatype in mri_datatypes(catalog):
+        name, description = catalog.datatypes.get(datatype, (datatype, ""))
+        rollup[datatype] = {
+            "name": name,
+            "description": description,
+            "suffixes": sorted(valid_suffixes(catalog, datatype)),
+        }
+    return rollup
 
 
-def default_suffix(catalog: Catalog) -> Column:
-    first = catalog.modalities.agg(F.min_by("modality", "pos").alias("datatype"))
-    return (
-        datatype_suffixes(catalog)
-        .join(first, "datatype", "left_semi")
-        .agg(F.min_by("suffix", "pos").alias("s"))
-        .scalar()
-    )
+def entity_rollup(catalog: Catalog) -> dict[str, dict]:
+    return {
+        entity: {"name": short, "description": description, "format": form}
+        for entity, (short, description, form) in catalog.entities.items()
+    }
 
 
 # --- naming patterns --------------------------------------------------------------------------
 
 
 def _pattern_rows(catalog: Catalog, entity_sets: Column) -> DataFrame:
-    rule_suffixes = catalog.rules.select(
+    rule_suffixes = rules_table(catalog).select(
         "datatype",
         F.col("pos").alias("rule_pos"),
         F.posexplode("suffixes").alias("suffix_pos", "suffix"),
@@ -531,8 +497,10 @@ def _finish_patterns(rows: DataFrame, catalog: Catalog, prefix: str) -> DataFram
     entities = F.map_from_arrays(
         names, F.transform(names, lambda n: F.concat(F.lit("{"), n, F.lit("}")))
     )
-    pattern = naming.path_template(F.col("datatype"), F.col("suffix"), entities, F.col("order"))
-    shaped = rows.withColumn("order", entity_order_array(catalog)).select(
+    pattern = naming.path_template(
+        F.col("datatype"), F.col("suffix"), entities, list(catalog.entity_order)
+    )
+    shaped = rows.select(
         key.alias("pattern_key"),
         "datatype",
         "suffix",
@@ -634,30 +602,22 @@ def entity_order_breaks(parsed: DataFrame, catalog: Catalog) -> DataFrame:
     The order is looked up inside the row: an entity list is a handful of names, so no
     exploding and regrouping is needed.
     """
-    short_order = catalog.entity_order.join(
-        catalog.entities.select("entity", "short_name"), "entity", "left"
-    ).select("pos", F.coalesce("short_name", "entity").alias("short_name"))
+    order = F.array(*[F.lit(name) for name in catalog.short_order()])
     ranks = F.filter(
-        F.transform(F.col("file_entities"), lambda e: F.array_position(F.col("order"), e["key"])),
+        F.transform(F.col("file_entities"), lambda e: F.array_position(order, e["key"])),
         lambda r: r > 0,
     )
-    ordered = parsed.withColumn("order", _ordered(short_order, "short_name"))
-    return ordered.withColumn("ranks", ranks).select(
+    return parsed.withColumn("ranks", ranks).select(
         *parsed.columns, (F.col("ranks") == F.array_sort("ranks")).alias("in_order")
     )
 
 
 def combination_check(parsed: DataFrame, catalog: Catalog) -> DataFrame:
     """Whether some rule allows a path's suffix together with all its entities."""
-    short = catalog.entities.select("entity", "short_name")
     allowed = (
         entity_suffix_combinations(catalog)
-        .select("datatype", "rule_name", "pos", "suffix", F.explode("entities").alias("entity"))
-        .join(short, "entity", "left")
-        .groupBy("datatype", "suffix", "rule_name", "pos")
-        .agg(F.collect_set(F.coalesce("short_name", "entity")).alias("allowed"))
         .groupBy("datatype", "suffix")
-        .agg(F.collect_list("allowed").alias("allowed_sets"))
+        .agg(F.collect_list("short_names").alias("allowed_sets"))
     )
     used = F.transform("file_entities", lambda e: e["key"])
     fits = F.exists("allowed_sets", lambda s: F.size(F.array_except(used, s)) == 0)
@@ -672,15 +632,15 @@ def combination_check(parsed: DataFrame, catalog: Catalog) -> DataFrame:
 
 def _long_names(parsed: DataFrame, catalog: Catalog) -> DataFrame:
     """Sorted long names of a path's free entities as one key, looked up inside the row."""
-    names = catalog.entities.agg(
-        F.map_from_entries(F.collect_list(F.struct("short_name", "entity"))).alias("m")
-    ).scalar()
+    names = F.create_map(
+        *[F.lit(x) for e, (short, _, _) in catalog.entities.items() for x in (short, e)]
+    )
     used = F.transform(
         "file_entities",
-        lambda e: F.coalesce(F.try_element_at(F.col("names"), e["key"]), e["key"]),
+        lambda e: F.coalesce(F.try_element_at(names, e["key"]), e["key"]),
     )
     key = F.array_join(F.array_sort(F.array_distinct(_free_entities(used))), "_")
-    return parsed.withColumn("names", names).withColumn("entity_key", key).drop("names")
+    return parsed.withColumn("entity_key", key)
 
 
 def pattern_coverage(parsed: DataFrame, patterns: DataFrame, catalog: Catalog) -> DataFrame:
@@ -715,12 +675,9 @@ def validate_paths(paths: DataFrame, catalog: Catalog, strict_reference: bool =
     ``strict_reference`` compares datatypes with modality names and short entity keys with long
     names, which warns on every ordinary path.
     """
-    known = modality_array(catalog) if strict_reference else datatype_array(catalog)
-    names = entity_name_array(catalog, short=not strict_reference)
-    facts = paths.withColumns(
-        {"_datatypes": known, "_suffixes": suffix_map(catalog), "_entities": names}
-    )
-    check = naming.check_path(
-        F.col("path"), F.col("_datatypes"), F.col("_suffixes"), F.col("_entities")
-    )
-    return facts.withColumn("check", check).select(*paths.columns, "check")
+    known = list(catalog.modalities) if strict_reference else catalog.datatype_names()
+    names = list(catalog.entities) if strict_reference else catalog.short_order()
+    suffixes = {
+        d: valid_suffixes(catalog, d) for d in _in_order(["mri", *catalog.datatype_names()])
+    }
+    return paths.withColumn("check", naming.check_path(F.col("path"), known, suffixes, names))

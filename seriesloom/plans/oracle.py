@@ -554,10 +554,11 @@ FROM (SELECT u.path_id, s.pos AS p, lag(s.pos) OVER (PARTITION BY u.path_id ORDE
         "combination_check": _with(
             ["parsed", "suffixes", "entities"],
             """SELECT path_id, CASE WHEN s.pos IS NULL THEN 'unknown suffix'
-  WHEN len(list_filter(entity_parts, lambda x: NOT list_contains(
-    (SELECT list(short_name) FROM entities e WHERE e.datatype = p.datatype),
-    string_split(x, '-')[1]))) = 0 THEN 'legal' ELSE 'illegal' END AS combination
-FROM parsed p LEFT JOIN suffixes s ON s.datatype = p.datatype AND s.suffix = p.suffix""",
+  WHEN list_has_all(e.allowed, list_transform(entity_parts, lambda x: string_split(x, '-')[1]))
+  THEN 'legal' ELSE 'illegal' END AS combination
+FROM parsed p LEFT JOIN suffixes s ON s.datatype = p.datatype AND s.suffix = p.suffix
+LEFT JOIN (SELECT datatype, list(short_name) AS allowed FROM entities GROUP BY 1) e
+  ON e.datatype = p.datatype""",
         ),
         "pattern_coverage": _coverage(combined=False),
         "pattern_coverage_combined": _coverage(combined=True),
