@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.keywords import UNKNOWN, UNMAPPED
@@ -37,85 +37,96 @@ def path_template(
     return F.concat_ws("/", *[F.lit(p) for p in lead], modality, stem)
 
 
-def path_parts(path: Column) -> Column:
-    """Components of a path, with '//', '/./' and a trailing '/' folded away."""
-    named = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    return F.when(path.startswith("/"), F.concat(F.array(F.lit("/")), named)).otherwise(named)
+_ODD_COMPONENT = r"(^|/)\.?(/|$)"
 
 
-def file_stem(file_name: Column) -> Column:
-    return F.split(file_name, r"\.").getItem(0)
+def clean_path(path: Column) -> Column:
+    """Path without '//', '/./' and a trailing '/'. Ordinary paths pass untouched."""
+    named = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    root = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(_ODD_COMPONENT), F.concat(root, F.array_join(named, "/"))).otherwise(
+        path
+    )
 
 
-def stem_suffix(stem: Column) -> Column:
-    return F.element_at(F.split(stem, "_"), -1)
+# A "key-value" part of a file name that is not its last part (the suffix).
+_KEYS = r"(?:^|_)([^_-]*)-[^_]*(?=_)"
+_VALUES = r"(?:^|_)[^_-]*-([^_]*)(?=_)"
 
 
-def stem_entities(stem: Column) -> Column:
-    """``key-value`` parts before the suffix, in file order, repeats included."""
-    parts = F.split(stem, "_")
-    keyed = F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.contains("-"))
-    return F.transform(
-        keyed,
-        lambda p: F.struct(
-            F.substring_index(p, "-", 1).alias("key"),
-            F.regexp_replace(p, "^[^-]*-", "").alias("value"),
-        ),
+def last_per_key(keys: Column, values: Column) -> Column:
+    """Map of keys to values, a repeated key keeping its last value."""
+    distinct = F.array_distinct(keys)
+    # Repeats are rare; without them the lists are the map.
+    last = F.transform(
+        distinct, lambda k: F.get(values, F.size(keys) - F.array_position(F.reverse(keys), k))
+    )
+    return F.when(F.size(distinct) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(
+        F.map_from_arrays(distinct, last)
     )
 
 
-def last_per_key(entries: Column) -> Column:
-    """Entries of an array of (key, value), a repeated key keeping its last value."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(
-            keys,
-            lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"],
-        ),
+def with_path_fields(paths: DataFrame) -> DataFrame:
+    """Add ``datatype, suffix, entity_keys, entity_values`` of each ``path``, and helpers.
+
+    Helpers stay as columns because each is read several times.
+    """
+    clean = F.col("clean_path")
+    return (
+        paths.withColumn("clean_path", clean_path(F.col("path")))
+        .withColumns(
+            {
+                "depth": F.length(clean) - F.length(F.replace(clean, F.lit("/"), F.lit(""))) + 1,
+                "file_name": F.substring_index(clean, "/", -1),
+            }
+        )
+        .withColumn("stem", F.substring_index("file_name", ".", 1))
+        .withColumns(
+            {
+                "datatype": F.when(
+                    F.col("depth") > 1,
+                    F.substring_index(F.substring_index(clean, "/", -2), "/", 1),
+                ),
+                "suffix": F.substring_index("stem", "_", -1),
+                "entity_keys": F.regexp_extract_all("stem", F.lit(_KEYS), 1),
+                "entity_values": F.regexp_extract_all("stem", F.lit(_VALUES), 1),
+            }
+        )
     )
 
 
+PATH_HELPERS = ["clean_path", "depth", "file_name", "stem"]
+
+
 def check_path(
-    path: Column,
-    datatypes: list[str],
-    suffixes: dict[str, list[str]],
-    entity_names: list[str],
+    datatypes: list[str], suffixes: dict[str, list[str]], entity_names: list[str]
 ) -> Column:
-    """Struct ``valid, errors, warnings, entities`` for one path."""
+    """Struct ``valid, errors, warnings, entities`` from the columns of ``with_path_fields``."""
     none = F.array().cast("array<string>")
-    parts = path_parts(path)
-    too_short = F.size(parts) < 3
-    file_name = F.try_element_at(parts, F.lit(-1))
-    datatype = F.try_element_at(parts, F.lit(-2))
-    stem = file_stem(file_name)
-    suffix = stem_suffix(stem)
-    entities = stem_entities(stem)
+    file_name = F.col("file_name")
+    datatype, suffix, keys = F.col("datatype"), F.col("suffix"), F.col("entity_keys")
+    too_short = F.col("depth") < 3
     listed = "[" + ", ".join(datatypes) + "]"
     suffix_valid = F.lit(False)
     valid_list = F.lit("[]")
     for name, allowed in suffixes.items():
-        suffix_valid = F.when(datatype == name, suffix.isin(allowed)).otherwise(suffix_valid)
+        suffix_valid = suffix_valid | ((datatype == name) & suffix.isin(allowed))
         valid_list = F.when(datatype == name, F.lit("[" + ", ".join(allowed) + "]")).otherwise(
             valid_list
         )
-
-    bad_prefix = F.when(
-        ~F.get(parts, F.lit(0)).startswith("sub-"),
-        F.lit("First directory must be subject (sub-*)"),
+    good_prefix = F.col("clean_path").startswith("sub-")
+    errors = (
+        F.when(too_short, F.array(F.lit("Path too short - missing required components")))
+        .when(good_prefix, none)
+        .otherwise(F.array(F.lit("First directory must be subject (sub-*)")))
     )
-    errors = F.when(
-        too_short, F.array(F.lit("Path too short - missing required components"))
-    ).otherwise(F.array_compact(F.array(bad_prefix)))
-
-    odd_extension = ~_ends_with_any(file_name, EXTENSIONS)
     fixed_warnings = F.array(
         F.when(
             ~datatype.isin(datatypes),
             F.concat(F.lit("Modality '"), datatype, F.lit(f"' not in standard list: {listed}")),
         ),
         F.when(
-            odd_extension,
+            ~_ends_with_any(file_name, EXTENSIONS),
             F.concat(F.lit("Unusual file extension in '"), file_name, F.lit("'")),
         ),
         F.when(
@@ -130,19 +141,22 @@ def check_path(
             ),
         ),
     )
-    entity_warnings = F.transform(
-        F.filter(entities, lambda e: ~e["key"].isin(entity_names)),
-        lambda e: F.concat(F.lit("Entity '"), e["key"], F.lit("' not in BIDS schema")),
-    )
-    warnings = F.when(too_short, none).otherwise(
-        F.concat(F.array_compact(fixed_warnings), entity_warnings)
+    names = F.array(*[F.lit(n) for n in entity_names])
+    # The lambdas run only where there is something to warn about.
+    entity_warnings = F.when(F.size(F.array_except(keys, names)) == 0, none).otherwise(
+        F.transform(
+            F.filter(keys, lambda k: ~k.isin(entity_names)),
+            lambda k: F.concat(F.lit("Entity '"), k, F.lit("' not in BIDS schema")),
+        )
     )
     return F.struct(
-        (F.size(errors) == 0).alias("valid"),
+        (~too_short & good_prefix).alias("valid"),
         errors.alias("errors"),
-        warnings.alias("warnings"),
+        F.when(too_short, none)
+        .otherwise(F.concat(F.array_compact(fixed_warnings), entity_warnings))
+        .alias("warnings"),
         F.when(too_short, F.create_map().cast(EMPTY_MAP))
-        .otherwise(last_per_key(entities))
+        .otherwise(last_per_key(keys, F.col("entity_values")))
         .alias("entities"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FENCE = "```"
@@ -28,18 +28,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def first_array(text: Column) -> Column:
-    """The text from the first '[' to its matching ']', or null when there is none.
+def close_of_first_array(pieces: Column) -> Column:
+    """How many ']'-separated pieces the array takes that opens the first piece; 0 if unclosed.
 
-    The text is cut at every ']'. The array closes at the first piece where as many '[' as ']'
-    have been seen, so the fold runs over brackets and not over characters. Brackets inside
-    string values count too.
+    The array closes at the first ']' that balances all '[' so far, so the fold runs over
+    brackets and not over characters. Brackets inside string values count too.
     """
-    start = F.instr(text, "[")
-    tail = F.when(start > 0, F.substring(text, start, F.length(text)))
-    pieces = F.split(tail, r"\]")
     opened = F.transform(
-        pieces, lambda p: F.length(p) - F.length(F.regexp_replace(p, r"\[", ""))
+        pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit("["), F.lit("")))
     )
     zero = F.struct(F.lit(0).alias("balance"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
 
@@ -55,13 +51,7 @@ def first_array(text: Column) -> Column:
             .alias("end"),
         )
 
-    end = F.aggregate(opened, zero, step, lambda s: s["end"])
-    return F.when(
-        end > 0,
-        F.concat(
-            F.array_join(F.slice(pieces, F.lit(1), F.greatest(end, F.lit(1))), "]"), F.lit("]")
-        ),
-    )
+    return F.aggregate(opened, zero, step, lambda s: s["end"])
 
 
 def without_trailing_commas(text: Column) -> Column:
@@ -73,39 +63,66 @@ def _array_elements(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>"))
 
 
-def mapping_elements(response: Column) -> Column:
-    """Elements of the JSON array in a response: whole text first, then the repaired cut."""
-    whole = strip(response)
-    repaired = without_trailing_commas(first_array(_after_leading_fence(whole)))
-    is_object = whole.rlike(r"(?s)^\{.*\}$") & F.from_json(whole, "map<string,string>").isNotNull()
-    return F.when(is_object, F.lit(None)).otherwise(
-        F.coalesce(_array_elements(whole), _array_elements(repaired))
+def with_elements(answered: DataFrame) -> DataFrame:
+    """Add ``elements``: the raw JSON elements of each ``response``, null without an array.
+
+    The whole text is tried first. Only if that fails is the text from the first '[' to its
+    match cut out, freed of trailing commas and tried again. Steps are columns because each is
+    read several times by the next.
+    """
+    whole = answered.withColumn("_text", strip(F.col("response"))).withColumn(
+        "_whole", _array_elements(F.col("_text"))
+    )
+    is_object = F.col("_text").rlike(r"(?s)^\{.*\}$") & F.from_json(
+        "_text", "map<string,string>"
+    ).isNotNull()
+    retry = F.when(F.col("_whole").isNull() & ~is_object, _after_leading_fence(F.col("_text")))
+    start = F.instr("_retry", "[")
+    pieces = F.when(
+        start > 0, F.split(F.substring(F.col("_retry"), start, F.length("_retry")), r"\]")
+    )
+    cut = F.when(
+        F.col("_close") > 0,
+        F.concat(
+            F.array_join(F.slice("_pieces", F.lit(1), F.greatest("_close", F.lit(1))), "]"),
+            F.lit("]"),
+        ),
+    )
+    tried = (
+        whole.withColumn("_retry", retry)
+        .withColumn("_pieces", pieces)
+        .withColumn("_close", close_of_first_array(F.col("_pieces")))
+        .withColumn("_cut", without_trailing_commas(cut))
+    )
+    return tried.select(
+        *answered.columns, F.coalesce("_whole", _array_elements(F.col("_cut"))).alias("elements")
     )
 
 
-def parse_mapping(element: Column) -> Column:
-    """Mapping struct of one array element; null for anything that is not usable.
+def with_answers(elements: DataFrame) -> DataFrame:
+    """Add ``answer``, the mapping struct of each ``element``; null if it is not usable.
 
     Not usable: no object, or a confidence that is present and not a number.
     """
-    fields = F.when(element.rlike(r"^\s*\{"), F.from_json(element, MAPPING_TYPE))
-    entities = fields["bids_entities"]
-    confidence = fields["bids_confidence"]
-    usable = fields.isNotNull() & (
+    parsed = elements.withColumn(
+        "_f", F.when(F.col("element").rlike(r"^\s*\{"), F.from_json("element", MAPPING_TYPE))
+    )
+    confidence = F.col("_f.bids_confidence")
+    usable = F.col("_f").isNotNull() & (
         confidence.isNull() | confidence.try_cast("double").isNotNull()
     )
-    return F.when(
-        usable,
-        F.struct(
-            fields["bids_modality"].alias("bids_modality"),
-            fields["bids_suffix"].alias("bids_suffix"),
-            F.when(
-                entities.rlike(r"^\s*\{"), F.from_json(entities, "map<string,string>")
-            ).alias("bids_entities"),
-            confidence.alias("bids_confidence"),
-            fields["bids_path"].alias("bids_path"),
-        ),
+    entities = F.when(
+        F.col("_f.bids_entities").rlike(r"^\s*\{"),
+        F.from_json("_f.bids_entities", "map<string,string>"),
+    )
+    answer = F.struct(
+        F.col("_f.bids_modality").alias("bids_modality"),
+        F.col("_f.bids_suffix").alias("bids_suffix"),
+        entities.alias("bids_entities"),
+        confidence.alias("bids_confidence"),
+        F.col("_f.bids_path").alias("bids_path"),
     )
+    return parsed.select(*elements.columns, F.when(usable, answer).alias("answer"))
 
 
 def numbered_lines(response: Column) -> Column:

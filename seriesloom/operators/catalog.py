@@ -568,14 +568,7 @@ def combined_naming_patterns(catalog: Catalog) -> DataFrame:
 
 def parse_paths(paths: DataFrame) -> DataFrame:
     """``datatype``, ``suffix`` and file-name entities of every path."""
-    parts = naming.path_parts(F.col("path"))
-    stem = naming.file_stem(F.try_element_at(parts, F.lit(-1)))
-    return paths.select(
-        "*",
-        F.try_element_at(parts, F.lit(-2)).alias("datatype"),
-        naming.stem_suffix(stem).alias("suffix"),
-        naming.stem_entities(stem).alias("file_entities"),
-    )
+    return naming.with_path_fields(paths).drop(*naming.PATH_HELPERS)
 
 
 def with_suffix_validity(named: DataFrame, catalog: Catalog) -> DataFrame:
@@ -590,9 +583,7 @@ def with_suffix_validity(named: DataFrame, catalog: Catalog) -> DataFrame:
 
 def illegal_entities(parsed: DataFrame, catalog: Catalog) -> DataFrame:
     """One row per path and entity that its datatype does not allow."""
-    exploded = parsed.select(
-        "path", "path_id", "datatype", F.explode("file_entities").alias("e")
-    ).select("path", "path_id", "datatype", F.col("e.key").alias("short_name"))
+    exploded = parsed.select("*", F.explode("entity_keys").alias("short_name"))
     return exploded.join(datatype_entities(catalog), ["datatype", "short_name"], "left_anti")
 
 
@@ -604,7 +595,7 @@ def entity_order_breaks(parsed: DataFrame, catalog: Catalog) -> DataFrame:
     """
     order = F.array(*[F.lit(name) for name in catalog.short_order()])
     ranks = F.filter(
-        F.transform(F.col("file_entities"), lambda e: F.array_position(order, e["key"])),
+        F.transform("entity_keys", lambda k: F.array_position(order, k)),
         lambda r: r > 0,
     )
     return parsed.withColumn("ranks", ranks).select(
@@ -619,8 +610,9 @@ def combination_check(parsed: DataFrame, catalog: Catalog) -> DataFrame:
         .groupBy("datatype", "suffix")
         .agg(F.collect_list("short_names").alias("allowed_sets"))
     )
-    used = F.transform("file_entities", lambda e: e["key"])
-    fits = F.exists("allowed_sets", lambda s: F.size(F.array_except(used, s)) == 0)
+    fits = F.exists(
+        "allowed_sets", lambda allowed: F.size(F.array_except("entity_keys", allowed)) == 0
+    )
     return parsed.join(allowed, ["datatype", "suffix"], "left").select(
         *parsed.columns,
         F.when(F.col("allowed_sets").isNull(), F.lit("unknown suffix"))
@@ -635,10 +627,7 @@ def _long_names(parsed: DataFrame, catalog: Catalog) -> DataFrame:
     names = F.create_map(
         *[F.lit(x) for e, (short, _, _) in catalog.entities.items() for x in (short, e)]
     )
-    used = F.transform(
-        "file_entities",
-        lambda e: F.coalesce(F.try_element_at(names, e["key"]), e["key"]),
-    )
+    used = F.transform("entity_keys", lambda k: F.coalesce(F.try_element_at(names, k), k))
     key = F.array_join(F.array_sort(F.array_distinct(_free_entities(used))), "_")
     return parsed.withColumn("entity_key", key)
 
@@ -680,4 +669,7 @@ def validate_paths(paths: DataFrame, catalog: Catalog, strict_reference: bool =
     suffixes = {
         d: valid_suffixes(catalog, d) for d in _in_order(["mri", *catalog.datatype_names()])
     }
-    return paths.withColumn("check", naming.check_path(F.col("path"), known, suffixes, names))
+    checked = naming.with_path_fields(paths).withColumn(
+        "check", naming.check_path(known, suffixes, names)
+    )
+    return checked.select(*paths.columns, "check")

@@ -50,7 +50,8 @@ def group_series(series: DataFrame, null_keys: str = "drop") -> DataFrame:
     keys = available_keys(series)
     df = coerce_series(with_study(series))
     if null_keys == "drop":
-        df = df.dropna(subset=keys)
+        # Numbers and flags are never null any more.
+        df = df.dropna(subset=[k for k in keys if k not in NUMERIC_KEYS + BOOLEAN_KEYS])
     order = row_order(df)
 
     def first(column: str):

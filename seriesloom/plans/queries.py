@@ -290,7 +290,7 @@ def model_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def response_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     recovered = inference.recover_mappings(views.mapping_answers(_batched(spark, sf_dir)))
-    return recovered.select(
+    return recovered.where(F.col("answer").isNotNull()).select(
         "batch_id",
         "pos",
         "answer.bids_modality",
