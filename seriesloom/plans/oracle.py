@@ -458,9 +458,68 @@ _RULE_BLOCK = """'Group ' || (pos + 1) || '\n  path: ' || bids_path
   || '\n  example file: ' || example_dcm_file"""
 
 
+_UNITED = """
+SELECT * EXCLUDE (row_ord, image_type), NULL AS image_type FROM series
+UNION BY NAME SELECT * EXCLUDE (row_ord, sequence_name), NULL AS sequence_name FROM series"""
+
+_FINGERPRINT = """
+SELECT directory, count(*) AS n_files, md5(concat_ws(':', directory, count(*),
+  CAST(sum(length) AS BIGINT), CAST(sum(('0x' || d[1:15])::BIGINT) AS VARCHAR),
+  CAST(sum(('0x' || d[16:30])::BIGINT) AS VARCHAR))) AS fingerprint
+FROM (SELECT *, md5(concat_ws(':', string_split(path, '/')[-1], length,
+    epoch_ms(modificationTime))) AS d, array_to_string(string_split(path, '/')[:-2], '/')
+    AS directory FROM paths {where}) GROUP BY directory"""
+
+
 def sql() -> dict[str, str]:
     known_short = list(cat.ENTITY_SHORT.values())
     return {
+        "consolidated": _with(
+            ["series"],
+            """SELECT *, subject AS subject_id, COALESCE(NULLIF(session, ''), 'single_session')
+  AS session_id FROM united""",
+            {"united": _UNITED},
+        ),
+        "scanned_tables": _with(
+            ["series"],
+            """SELECT CAST(series_id AS VARCHAR) AS series_id, subject, session, protocol_name,
+  series_description, sequence_name, dim1, dim2, dim3, dim4, TR, TE, is_derived,
+  is_motion_corrected, image_type, series_files, example_dcm_file, dcm_dir_name FROM united""",
+            {"united": _UNITED},
+        ),
+        "subject_sessions": _with(
+            ["paths"],
+            """SELECT subject, session FROM (
+  SELECT DISTINCT string_split(path, '/')[1][5:] AS subject,
+    CASE WHEN starts_with(string_split(path, '/')[2], 'ses-')
+      THEN string_split(path, '/')[2][5:] END AS session
+  FROM paths WHERE starts_with(path, 'sub-'))
+QUALIFY session IS NOT NULL OR count(session) OVER (PARTITION BY subject) = 0""",
+        ),
+        "fingerprints": _with(["paths"], _FINGERPRINT.format(where="")),
+        "fingerprints_sampled": _with(
+            ["paths"],
+            """SELECT directory, md5(directory || ':' || epoch_ms(any_value(changed)) || ':' || count(*)
+  || ':' || string_agg(stamp, '|' ORDER BY rank)) AS fingerprint
+FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY path, stamp) AS rank,
+    max(modificationTime) OVER (PARTITION BY directory) AS changed
+  FROM (SELECT *, concat_ws(':', string_split(path, '/')[-1], length,
+      epoch_ms(modificationTime)) AS stamp,
+      array_to_string(string_split(path, '/')[:-2], '/') AS directory FROM paths))
+WHERE rank <= 10 GROUP BY directory""",
+        ),
+        "changed_inputs": _with(
+            ["paths"],
+            """SELECT c.*, CASE WHEN s.fingerprint IS NULL THEN 'recompute' ELSE 'reuse' END AS status
+FROM current_files c LEFT JOIN stored s ON s.directory = c.directory
+  AND s.fingerprint = c.fingerprint""",
+            {
+                "current_files": _FINGERPRINT.format(where=""),
+                "stored": _FINGERPRINT.format(
+                    where="WHERE modificationTime < TIMESTAMP '2000-01-01'"
+                ),
+            },
+        ),
         "profile_overview": _with(
             ["series"],
             """SELECT 'study' AS study, count(DISTINCT subject) AS n_subjects,

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from seriesloom.operators import catalog as cat
 from seriesloom.operators import classify, grouping, inference, profile, rules
 from seriesloom.plans import views
-from seriesloom.staging import stage
+from seriesloom.schema import SERIES_SCHEMA
+from seriesloom.sources import listing, sinks, tables
+from seriesloom.staging import new_path, stage
 
 VARIANT_CONTEXT = "T2w scans: use _rec-norm_ for NORM, judged by image_type"
 DERIVED_CONTEXT = "keep derived series apart"
@@ -62,6 +64,57 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.parse_paths(views.paths(spark, sf_dir))
 
 
+# --- sources ----------------------------------------------------------------------------------
+
+
+def _column_sets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The series as two kinds of table that lack a column each, with repeated rows."""
+    series = views.series(spark, sf_dir).drop("row_ord")
+    first, second = series.drop("image_type"), series.drop("sequence_name")
+    return [first, second, first.where("series_id % 10 = 0")]
+
+
+@query
+def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    united = tables.consolidate(_column_sets(spark, sf_dir))
+    return tables.with_provenance(tables.drop_repeats(united))
+
+
+@query
+def scanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tables written as tab-separated text and read back by header."""
+    root = new_path(spark, "tables")
+    for i, table in enumerate(_column_sets(spark, sf_dir)):
+        sinks.write_table(table, f"{root}/{i}")
+    scanned = tables.read_session_tables(spark, root, pattern="*.csv")
+    return tables.drop_repeats(scanned).select(
+        *[f.name for f in SERIES_SCHEMA.fields if f.name != "total_files_till_now"]
+    )
+
+
+@query
+def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.discover_sessions(views.paths(spark, sf_dir))
+
+
+@query
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.fingerprints(views.paths(spark, sf_dir))
+
+
+@query
+def fingerprints_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.sampled_fingerprints(views.paths(spark, sf_dir))
+
+
+@query
+def changed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories that changed after the newest tenth of the listing's days began."""
+    files = views.paths(spark, sf_dir)
+    stored = listing.fingerprints(files.where("modificationTime < TIMESTAMP'2000-01-01'"))
+    return listing.change_report(listing.fingerprints(files), stored)
+
+
 # --- profile ----------------------------------------------------------------------------------
 
 
