@@ -161,10 +161,13 @@ def test_built_paths_pass_the_check(spark, catalog):
 
 def repaired(spark, catalog, mapping):
     columns = (
-        "bids_modality string, bids_suffix string, bids_entities map<string,string>, "
+        "bids_modality string, bids_suffix string, bids_entities string, "
         "bids_confidence string, bids_path string"
     )
-    df = spark.createDataFrame([mapping], columns)
+    df = spark.createDataFrame([mapping], columns).withColumn(
+        # A Python dict would arrive as an unordered map.
+        "bids_entities", F.from_json("bids_entities", "map<string,string>")
+    )
     return df.select(
         naming.repair_mapping(F.struct("*"), cat.mri_datatypes(catalog)).alias("m")
     ).first()["m"]
@@ -179,14 +182,14 @@ def test_mapping_repair(spark, catalog):
         "bids_confidence": 0.25,
         "bids_path": "unmapped",
     }
-    kept = repaired(spark, catalog, ("eeg", "eeg", {}, "0.8", "eeg/x"))
+    kept = repaired(spark, catalog, ("eeg", "eeg", "{}", "0.8", "eeg/x"))
     assert (kept["bids_modality"], kept["bids_suffix"], kept["bids_path"]) == (
         "unknown",
         "eeg",
         "eeg/x",
     )
     assert kept["bids_confidence"] == 0.4
-    built = repaired(spark, catalog, ("func", "bold", {"task": "a", "run": "1"}, "2", ""))
+    built = repaired(spark, catalog, ("func", "bold", '{"task": "a", "run": 1}', "2", ""))
     assert built["bids_path"] == "func/sub-{subject}_ses-{session}_task-a_run-1_bold"
     assert built["bids_confidence"] == 2.0
 
