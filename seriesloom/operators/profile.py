@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from seriesloom.functions.coerce import to_number
 from seriesloom.schema import row_order, with_study
+from seriesloom.staging import stage
 
 
 def overview(series: DataFrame) -> DataFrame:
@@ -70,12 +71,16 @@ def overview(series: DataFrame) -> DataFrame:
 
 
 def top_protocols(series: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent protocols per study, ties by first appearance."""
-    counts = (
+    """The ``n`` most frequent protocols per study, ties by first appearance.
+
+    The counts are staged: both the ranking and the totals read them, the series are read once.
+    """
+    counts = stage(
         with_study(series)
         .where(F.col("protocol_name").isNotNull())
         .groupBy("study", "protocol_name")
-        .agg(F.count("*").alias("n_series"), F.min(row_order(series)).alias("first_row"))
+        .agg(F.count("*").alias("n_series"), F.min(row_order(series)).alias("first_row")),
+        "protocols",
     )
     totals = counts.groupBy("study").agg(F.count("*").alias("n_protocols"))
     order = W.partitionBy("study").orderBy(F.desc("n_series"), "first_row")

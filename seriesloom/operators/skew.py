@@ -12,8 +12,8 @@ HOT_ROWS = 1_000_000
 
 
 def _same(keys: list[str], prefix: str) -> Column:
-    """Null-safe equality of each key with its prefixed twin; planned as an equi-join."""
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+    """Equality of each key with its prefixed twin."""
+    return reduce(lambda a, b: a & b, [F.col(k) == F.col(prefix + k) for k in keys])
 
 
 def hot_keys(
@@ -40,7 +40,7 @@ def spread_join(
     row_id: str,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Inner join on ``keys`` (null-safe), hot keys of ``big`` cut into slices.
+    """Inner join on ``keys``, hot keys of ``big`` cut into slices.
 
     A hot key's rows of ``small`` are repeated once per slice and its rows of ``big`` go to the
     slice of their ``row_id``. All other keys have one slice. The result is that of a plain

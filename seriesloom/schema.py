@@ -70,9 +70,9 @@ DEFAULT_STUDY = "study"
 
 
 def with_study(df: DataFrame) -> DataFrame:
-    """A table without a ``study`` column is one study."""
+    """A table without a ``study`` column is one study; rows without a study join it."""
     if "study" in df.columns:
-        return df
+        return df.withColumn("study", F.coalesce("study", F.lit(DEFAULT_STUDY)))
     return df.withColumn("study", F.lit(DEFAULT_STUDY))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seriesloom.staging import stage
+
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``path, length, modificationTime`` below ``root``; file contents are not read."""
@@ -38,26 +40,32 @@ def discover_sessions(
     is subject ``01``. One layout holds for the whole tree. A subject without sessions has one
     null session. Caps, if given, count in sorted order; ``max_subjects`` is for the second layout.
     """
-    first = F.substring_index("path", "/", 1)
-    below_first = F.when(
-        F.col("path").contains("/"), F.substring(F.col("path"), F.length(first) + 2, F.length("path"))
+    below = F.when(
+        F.col("path").contains("/"),
+        F.substring(F.col("path"), F.length("first") + 2, F.length("path")),
     )
-    second = F.substring_index(below_first, "/", 1)
+    split = (
+        listing.select("path", F.substring_index("path", "/", 1).alias("first"))
+        .withColumn("below", below)
+        .withColumn("second", F.substring_index("below", "/", 1))
+    )
+    first, second = F.col("first"), F.col("second")
     prefixed = first.startswith("sub-")
-    numbered = first.rlike(r"^\d") & below_first.isNotNull()
-    found = (
-        listing.select(
-            F.when(prefixed, 1).when(numbered, 2).alias("layout"),
-            F.when(prefixed, F.substring(first, F.lit(5), F.length(first)))
-            .otherwise(first)
-            .alias("subject"),
-            F.when(prefixed & second.startswith("ses-"), F.substring(second, F.lit(5), F.length(second)))
-            .when(~prefixed & second.rlike(r"^(\d|ses)") & below_first.contains("/"), second)
-            .alias("session"),
+    numbered = first.rlike(r"^\d") & F.col("below").isNotNull()
+    is_directory = F.col("below").contains("/")
+    found = split.select(
+        F.when(prefixed, 1).when(numbered, 2).alias("layout"),
+        F.when(prefixed, F.substring(first, F.lit(5), F.length(first)))
+        .otherwise(first)
+        .alias("subject"),
+        F.when(
+            prefixed & second.startswith("ses-"), F.substring(second, F.lit(5), F.length(second))
         )
-        .where(F.col("layout").isNotNull())
-        .distinct()
-    )
+        .when(~prefixed & is_directory & second.rlike(r"^(\d|ses)"), second)
+        .alias("session"),
+    ).distinct()
+    # The listing is read once; everything below works on its distinct pairs.
+    found = stage(found, "pairs").where(F.col("layout").isNotNull())
     best = found.agg(F.min("layout").alias("layout")).scalar()
     chosen = found.where(F.col("layout") == best)
     subjects = chosen.select("layout", "subject").distinct()

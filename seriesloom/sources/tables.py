@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 
 from seriesloom.functions import coerce
 from seriesloom.schema import EMPTY_COLUMNS, SERIES_SCHEMA
+from seriesloom.sources.listing import list_files
 
 SESSION_PATTERN = "dicominfo*.tsv"
 AGGREGATED_NAME = "aggregated_dicominfo.tsv"
 SINGLE_SESSION = "single_session"
 WHOLE_FILE_BYTES = 4 * 1024 * 1024
+# Headers of this many files (about 1 kB each) are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_FILES = 20_000
 
 # Other names under which tables carry the subject and session.
 _ALIASES = {"subject": "subject_id", "session": "session_id"}
@@ -118,9 +121,15 @@ def session_lines(
 
     Headers differ between files, so each line is bound to the header of its own file. Small
     files are one row each and carry their header along. Files above ``whole_file_bytes`` are
-    read in splits and get their header by a join on the file. The size test is on file
-    metadata, so each file is listed for one of the two ways only.
+    read in splits and get their header by a join on the file, broadcast as long as they are
+    few. The size test is on file metadata, so each file is read one of the two ways only.
     """
+    n_large = (
+        list_files(spark, root, pattern)
+        .where(F.col("length") > whole_file_bytes)
+        .limit(MAX_BROADCAST_FILES + 1)
+        .count()
+    )
     small = (
         _text_scan(spark, root, pattern, True, skip_unreadable)
         .where(F.col("_metadata.file_size") <= whole_file_bytes)
@@ -132,6 +141,8 @@ def session_lines(
         .where("pos > 0")
         .select("file_path", "binding", F.col("col").alias("line"))
     )
+    if n_large == 0:
+        return small.where(F.col("line") != "")
     large = (
         _text_scan(spark, root, pattern, False, skip_unreadable)
         .where(F.col("_metadata.file_size") > whole_file_bytes)
@@ -149,6 +160,8 @@ def session_lines(
         .agg(F.min_by("line", "line_id").alias("header"))
         .withColumn("binding", _binding(F.col("header")))
     )
+    if n_large <= MAX_BROADCAST_FILES:
+        headers = F.broadcast(headers)
     bound = (
         large.join(headers, "file_path")
         .where(F.col("line") != F.col("header"))
