@@ -335,7 +335,7 @@ def sequence_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = inference.map_groups(
-        _numbered(spark, sf_dir), cat.seed_catalog(spark), inference.keyword_responder
+        _numbered(spark, sf_dir), cat.seed_catalog(spark), inference.keyword_model()
     )
     return _mapping_columns(mapped, "group_id")
 

@@ -136,7 +136,7 @@ def test_record_defaults(spark):
 def test_split_prompts_map_to_the_right_groups(spark, catalog, numbered):
     plain = inference.map_by_keywords(numbered, catalog)
     mapped = inference.map_groups(
-        numbered, catalog, inference.keyword_responder, max_chars=2500, batch_size=7
+        numbered, catalog, inference.keyword_model(), max_chars=2500, batch_size=7
     )
     assert {r[0] for r in mapped.select("mapping_source").distinct().collect()} == {"model"}
     columns = ["group_id", "bids_modality", "bids_suffix", "bids_path", "suffix_valid"]
