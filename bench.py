@@ -16,27 +16,20 @@ from tests.support import local_session
 
 HEADLINE = [
     "scanned_tables",
-    "consolidated",
     "subject_sessions",
     "fingerprints",
     "profile_overview",
     "profile_protocols",
     "series_coerced",
     "series_groups",
-    "numbered_groups",
     "classify_series",
     "path_templates",
     "validate_paths",
-    "suffix_conformance",
-    "combination_check",
     "pattern_coverage_combined",
-    "fallback_mapping",
     "prompt_batches",
     "model_mapping",
     "mapping_attached",
-    "rule_table",
     "rule_matches",
-    "rule_matches_context",
     "rule_match_counts",
     "rule_program",
 ]

@@ -109,7 +109,7 @@ def fingerprints_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def changed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories that changed after the newest tenth of the listing's days began."""
+    """Directories that gained files since the listing of 1 January 2000."""
     files = views.paths(spark, sf_dir)
     stored = listing.fingerprints(files.where("modificationTime < TIMESTAMP'2000-01-01'"))
     return listing.change_report(listing.fingerprints(files), stored)
