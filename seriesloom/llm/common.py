@@ -60,7 +60,7 @@ def slices(
 def table_bytes(df: DataFrame) -> int:
     """Size of the input as the planner knows it; used for partition numbers alone."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(size.toString()), 1 << 60)
+    return min(int(str(size)), 1 << 60)
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 200_000) -> int:

@@ -32,6 +32,8 @@ ORDER = 3
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 20_000
 UNKNOWN = "und"
+LETTER = r"\p{L}"
+LEAST_SCORE = 0.4
 
 
 class _Table:
@@ -176,30 +178,56 @@ def code_lengths(trees: ContextTrees, offsets: np.ndarray, data: np.ndarray) ->
     return total
 
 
+def _decide(trees: ContextTrees, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each row of a batch with ``text`` and ``has_letter``."""
+    names = np.array([*trees.languages, UNKNOWN], dtype=object)
+    letters = np.asarray(batch.column("has_letter").fill_null(False).cast(pa.uint8())) > 0
+    best = np.full(batch.num_rows, len(trees.languages))
+    score = np.zeros(batch.num_rows)
+    if trees.languages:
+        offsets, data = packed(batch.column("text"))
+        bits = code_lengths(trees, offsets, data)
+        best = np.where(letters, bits.argmin(axis=1), best)
+        rate = bits / np.maximum(1, np.diff(offsets))[:, None]
+        odds = np.exp2(rate.min(axis=1, keepdims=True) * 8 - rate * 8)
+        score = np.where(letters, 1 / odds.sum(axis=1), 0.0)
+    return names[best], score
+
+
+def keep_known(docs: DataFrame, trees: ContextTrees) -> DataFrame:
+    """The documents with a predicted language and a score of ``LEAST_SCORE`` or more (about even
+    scores mean that no language fits better than another), all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=1 << 18):
+            own = pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.names.index("text")), batch.column(batch.num_columns - 1)],
+                ["text", "has_letter"],
+            )
+            lang, score = _decide(shared.value, own)
+            keep = (lang != UNKNOWN) & ((score >= LEAST_SCORE) | (len(shared.value.languages) < 3))
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=schema.names)
+            yield rest.filter(pa.array(keep.astype(bool)))
+
+    marked = docs.select("*", F.col("text").rlike(LETTER).alias("has_letter"))
+    return marked.mapInArrow(run, schema)
+
+
 def predict(docs: DataFrame, trees: ContextTrees, held: tuple[int, int] = (4, 2)) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     folds, fold = held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
-        names = np.array([*trees.languages, UNKNOWN], dtype=object)
         for batch in slices(batches, size=1 << 18):
-            offsets, data = packed(batch.column("text"))
-            letters = np.asarray(batch.column("has_letter").fill_null(False))
-            best = np.full(batch.num_rows, len(trees.languages))
-            score = np.zeros(batch.num_rows)
-            if trees.languages:
-                bits = code_lengths(trees, offsets, data)
-                best = np.where(letters, bits.argmin(axis=1), best)
-                rate = bits / np.maximum(1, np.diff(offsets))[:, None]
-                odds = np.exp2(rate.min(axis=1, keepdims=True) * 8 - rate * 8)
-                score = np.where(letters, 1 / odds.sum(axis=1), 0.0)
+            lang, score = _decide(shared.value, batch)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("held_out"),
-                    pa.array(names[best], pa.string()),
+                    pa.array(lang, pa.string()),
                     pa.array(score),
                 ],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -209,7 +237,7 @@ def predict(docs: DataFrame, trees: ContextTrees, held: tuple[int, int] = (4, 2)
         "doc_id",
         "text",
         (crc_fold(folds) == fold).alias("held_out"),
-        F.col("text").rlike(r"\p{L}").alias("has_letter"),
+        F.col("text").rlike(LETTER).alias("has_letter"),
     )
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-_WS = r"[ \t\n\x0B\f\r]"
-
 OP2 = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -54,6 +52,23 @@ OP2_STOP = (
     "el los las y del por con para una como más lo su al es en de se"
 )
 
+OP9 = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+    sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), owned AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000
+    THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner
+  FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM owned
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2.replace("{stop}", OP2_STOP).replace("{{", "{").replace("}}", "}"),
+    "op9_warc": OP9,
 }

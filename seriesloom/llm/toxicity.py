@@ -223,6 +223,20 @@ def score(docs: DataFrame, lexicon: Lexicon, held_folds: int = 5) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The documents with a score under 0.5, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, curve = lexicon.automaton(), lexicon.curve
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield batch.filter(
+                pa.array([_score(*measures(t or "", machine), curve) < 0.5 for t in texts], pa.bool_())
+            )
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Lexicon from the labelled rows outside fold 0."""
     return learn(labelled_sample(docs, labels, "toxic", 5, 0, SAMPLE_PER_CLASS, SAMPLE_CHARS))
