@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, langid, packing, quality, quality_rules, simhash, toxicity, vectors, warc
+from seriesloom.llm import bpe, langid, packing, quality, quality_rules, simhash, suffix, toxicity, vectors, warc
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -63,3 +63,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removals(table(spark, sf_dir, "documents"))
