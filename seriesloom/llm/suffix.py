@@ -301,7 +301,7 @@ class RunIndex:
         self.length, self.ends, self.n = length, ends, n
         ranks = np.where(inside, symbols + texts, 0)
         ranks[ends] = np.arange(texts)
-        steps = {1: ranks}
+        steps = {1: ranks.astype(np.int32)}
         order, size = np.argsort(ranks, kind="stable"), 1
         deepest = int(sizes.max()) + 1 if texts else 1
         while size < max(deepest, length):
@@ -314,7 +314,8 @@ class RunIndex:
             ranks = np.empty(n, np.int64)
             ranks[order] = fresh
             size *= 2
-            steps[size] = ranks
+            steps[size] = ranks.astype(np.int32)
+            del ahead, key, ranked, fresh
         self.order_rank = ranks
         # Rows that share `length` symbols with the row above: equal ranks of the powers of two
         # that add up to it.
@@ -322,7 +323,7 @@ class RunIndex:
         at = 0
         for power in sorted(steps, reverse=True):
             if at + power <= length:
-                pad = np.concatenate([steps[power], np.full(length, -1, np.int64)])
+                pad = np.concatenate([steps[power], np.full(length, -1, np.int32)])
                 up, down = pad[order[:-1] + at], pad[order[1:] + at]
                 same &= (up == down) & (up >= 0)
                 at += power
@@ -454,10 +455,10 @@ def _digests(block: Block, gone: np.ndarray) -> dict[str, pa.Array]:
 
 
 def sizing(docs: DataFrame) -> tuple[int, int]:
-    """Numbers of blocks and buckets: about 4 MB a block up to 4096 blocks, then up to 64 MB."""
+    """Numbers of blocks and buckets: about 2 MB a block up to 4096 blocks, then up to 64 MB."""
     size = table_bytes(docs)
-    blocks = max(16, min(4096, size >> 22), size >> 26)
-    return blocks, max(64, min(8192, blocks))
+    blocks = max(16, min(4096, size >> 21), size >> 26)
+    return blocks, max(64, min(16384, 2 * blocks))
 
 
 _MESSAGE = "bucket int, block int, payload binary"
