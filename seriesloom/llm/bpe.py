@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import whole_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CHUNK_BYTES = 16 << 20
-PIECES = 100_000
+CHUNK_BYTES = 8 << 20
+PIECES = 30_000
 
 # k is the rank of the pair that starts at a row, with the position in its low bits, so the
 # smallest k of a piece is its leftmost pair of smallest rank. A piece without a pair is written

@@ -211,7 +211,10 @@ def keep_known(docs: DataFrame, trees: ContextTrees) -> DataFrame:
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=schema.names)
             yield rest.filter(pa.array(keep.astype(bool)))
 
-    marked = docs.select("*", F.col("text").rlike(LETTER).alias("has_letter"))
+    mark = "has_letter"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.col("text").rlike(LETTER))
     return marked.mapInArrow(run, schema)
 
 

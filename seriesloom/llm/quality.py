@@ -76,10 +76,11 @@ def features(
     if len(codes):
         same = np.zeros(len(codes), bool)
         same[1:] = word[1:] == word[:-1]
-        same[place[place < len(codes)]] = False
+        follows = whole.copy()
+        follows[place[place < len(codes)]] = False  # a row's first word has no word before it
         previous = np.concatenate([codes[:1], codes[:-1]])
         pairs = _bucket((codes * _ODD[0]) ^ (previous * _ODD[1]), bits)
-        yield np.where(same, np.uint32(0), pairs), whole, place
+        yield np.where(same, np.uint32(0), pairs), follows, place
     inner = ~space
     inner = inner[1:-1]
     for size in GRAMS:
@@ -101,9 +102,8 @@ def features(
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` from each start up to the next; 0 where nothing lies between."""
-    if not len(values):
-        return np.zeros(len(first))
-    total = np.add.reduceat(values, np.minimum(first, len(values) - 1), dtype=np.float64)
+    # The zero at the end stands for rows that start behind the last value.
+    total = np.add.reduceat(np.append(values, values.dtype.type(0)), first, dtype=np.float64)
     return np.where(np.diff(np.append(first, len(values))) > 0, total, 0.0)
 
 
