@@ -116,27 +116,27 @@ def check_path(
         )
     good_prefix = F.col("clean_path").startswith("sub-")
     errors = (
-        F.when(too_short, F.array(F.lit("Path too short - missing required components")))
+        F.when(too_short, F.array(F.lit("short: subject, datatype and file name are needed")))
         .when(good_prefix, none)
-        .otherwise(F.array(F.lit("First directory must be subject (sub-*)")))
+        .otherwise(F.array(F.lit("subject: no sub- directory at the start")))
     )
     fixed_warnings = F.array(
         F.when(
             ~datatype.isin(datatypes),
-            F.concat(F.lit("Modality '"), datatype, F.lit(f"' not in standard list: {listed}")),
+            F.concat(F.lit("datatype: "), datatype, F.lit(f" is none of {listed}")),
         ),
         F.when(
             ~_ends_with_any(file_name, EXTENSIONS),
-            F.concat(F.lit("Unusual file extension in '"), file_name, F.lit("'")),
+            F.concat(F.lit("extension: none that is known ends "), file_name),
         ),
         F.when(
             ~suffix_valid,
             F.concat(
-                F.lit("Suffix '"),
+                F.lit("suffix: "),
                 suffix,
-                F.lit("' not standard for modality '"),
+                F.lit(" is not used with "),
                 datatype,
-                F.lit("'. Valid: "),
+                F.lit(", which has "),
                 valid_list,
             ),
         ),
@@ -146,7 +146,7 @@ def check_path(
     entity_warnings = F.when(F.size(F.array_except(keys, names)) == 0, none).otherwise(
         F.transform(
             F.filter(keys, lambda k: ~k.isin(entity_names)),
-            lambda k: F.concat(F.lit("Entity '"), k, F.lit("' not in BIDS schema")),
+            lambda k: F.concat(F.lit("entity: "), k, F.lit(" is unknown")),
         )
     )
     return F.struct(

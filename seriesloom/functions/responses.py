@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.naming import last_per_key
+
 FENCE = "```"
 
 MAPPING_TYPE = (
@@ -111,9 +113,17 @@ def with_answers(elements: DataFrame) -> DataFrame:
     usable = F.col("_f").isNotNull() & (
         confidence.isNull() | confidence.try_cast("double").isNotNull()
     )
+    # An object that repeats a key means its last value, in the path as well as in the map.
+    parsed = parsed.withColumn(
+        "_entities",
+        F.when(
+            F.col("_f.bids_entities").rlike(r"^\s*\{"),
+            F.from_json("_f.bids_entities", "map<string,string>"),
+        ),
+    )
     entities = F.when(
-        F.col("_f.bids_entities").rlike(r"^\s*\{"),
-        F.from_json("_f.bids_entities", "map<string,string>"),
+        F.col("_entities").isNotNull(),
+        last_per_key(F.map_keys("_entities"), F.map_values("_entities")),
     )
     answer = F.struct(
         F.col("_f.bids_modality").alias("bids_modality"),

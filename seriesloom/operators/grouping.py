@@ -147,7 +147,7 @@ def top_groups(groups: DataFrame, n: int = 10) -> DataFrame:
 
     def text(name: str):
         value = F.col(name).cast("string") if name in groups.columns else F.lit(None)
-        return F.substring(F.coalesce(value, F.lit("Unknown")), 1, 25)
+        return F.coalesce(value, F.lit("Unknown"))
 
     def dim(name: str):
         return F.col(name).cast("string") if name in groups.columns else F.lit("0")

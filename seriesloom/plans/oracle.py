@@ -7,11 +7,8 @@ were built from.
 
 from __future__ import annotations
 
-import json
-
 from seriesloom.functions.naming import EXTENSIONS
 from seriesloom.operators import catalog as cat
-from seriesloom.operators import inference
 from seriesloom.plans.views import PATHS_SQL, SERIES_SQL
 
 KEYS = (
@@ -172,6 +169,11 @@ CTES = {
     "mapped": MAPPED,
     "classified": CLASSIFIED,
     "parsed": PARSED,
+    "ingested": """SELECT * REPLACE (series_id % 50 AS series_id), lpad(CAST(series_id % 50 AS VARCHAR),
+  20, '0') || chr(1) || subject || chr(1) || session || chr(1) || dcm_dir_name || chr(1)
+  || example_dcm_file AS o
+FROM coerced WHERE protocol_name IS NOT NULL AND series_description IS NOT NULL
+  AND sequence_name IS NOT NULL AND image_type IS NOT NULL""",
     "suffixes": SUFFIXES,
     "entities": ENTITIES,
     "short_names": SHORT,
@@ -181,6 +183,7 @@ NEEDS = {
     "coerced": ["series"],
     "groups": ["coerced"],
     "numbered": ["groups"],
+    "ingested": ["coerced"],
     "mapped": ["numbered"],
     "classified": ["coerced"],
     "parsed": ["paths"],
@@ -226,17 +229,17 @@ def _validate(known: list[str], entity_names: list[str]) -> str:
         ["parsed"],
         f"""SELECT path_id, starts_with(path, 'sub-') AS valid,
   CASE WHEN starts_with(path, 'sub-') THEN ''
-    ELSE 'First directory must be subject (sub-*)' END AS errors,
+    ELSE 'subject: no sub- directory at the start' END AS errors,
   concat_ws('; ',
-    CASE WHEN datatype NOT IN ({in_known}) THEN 'Modality ''' || datatype
-      || ''' not in standard list: {_listed(known)}' END,
-    CASE WHEN NOT ({endings}) THEN 'Unusual file extension in '''
-      || string_split(path, '/')[-1] || '''' END,
-    CASE WHEN NOT ({suffix_ok}) THEN 'Suffix ''' || suffix || ''' not standard for modality '''
-      || datatype || '''. Valid: ' || CASE datatype {valid_list} ELSE '[]' END END,
+    CASE WHEN datatype NOT IN ({in_known}) THEN 'datatype: ' || datatype
+      || ' is none of {_listed(known)}' END,
+    CASE WHEN NOT ({endings}) THEN 'extension: none that is known ends '
+      || string_split(path, '/')[-1] END,
+    CASE WHEN NOT ({suffix_ok}) THEN 'suffix: ' || suffix || ' is not used with '
+      || datatype || ', which has ' || CASE datatype {valid_list} ELSE '[]' END END,
     NULLIF(array_to_string(list_transform(
       list_filter(entity_parts, lambda x: string_split(x, '-')[1] NOT IN ({in_names})),
-      lambda x: 'Entity ''' || string_split(x, '-')[1] || ''' not in BIDS schema'), '; '), '')
+      lambda x: 'entity: ' || string_split(x, '-')[1] || ' is unknown'), '; '), '')
   ) AS warnings,
   array_to_string(list_sort(list_transform(entity_parts, lambda x: replace(x, '-', '='))), ',')
     AS entities
@@ -309,31 +312,27 @@ FROM mapped n JOIN (SELECT batch_id, count(*) AS size FROM numbered GROUP BY 1)
 """
 
 
-def _prompt_context() -> str:
-    datatypes = {
-        d: {"name": d, "description": "", "suffixes": sorted(cat.DATATYPE_SUFFIXES[d])}
-        for d in cat.MRI_DATATYPES
-    }
-    entities = {
-        e: {"name": cat.ENTITY_SHORT[e], "description": "", "format": "string"}
-        for e in cat.ENTITY_ORDER
-    }
+# The texts and names below are written out here once more, so that the oracle does not agree
+# with the implementation by sharing it.
+_PROMPT = """VOCABULARY
+{"version":"seed","datatypes":{"anat":["FLAIR","T1w","T2w"],"func":["bold"],\
+"fmap":["fieldmap","magnitude","phasediff"],"dwi":["dwi"],"perf":["asl"]},\
+"entities":["sub","ses","task","acq","run","echo","dir","rec","space","desc"]}
 
-    def dump(tree: dict) -> str:
-        return json.dumps(tree, separators=(",", ":"))
+TASK
+Choose one datatype and one of its suffixes for every acquisition listed below. Add an entity only \
+where the attributes name its value. State how sure you are as a number from 0 to 1.
 
-    return (
-        f"Naming catalog, version seed\n\nDatatypes and suffixes:\n{dump(datatypes)}"
-        f"\n\nEntities:\n{dump(entities)}\n\nEntity order:\n{', '.join(cat.ENTITY_ORDER)}"
-        f"\n\nRules:\n- Datatypes to choose from: {', '.join(cat.MRI_DATATYPES)}"
-        "\n- Use a suffix listed for the datatype"
-        "\n- Take entities from the scan attributes and keep the entity order"
-        "\n- Give a confidence between 0.0 and 1.0"
-        "\n- Write paths as datatype/sub-{subject}_ses-{session}_[entities]_suffix"
-        '\n\nOne mapping looks like this:\n{"bids_modality": "anat", "bids_suffix": "T1w", '
-        '"bids_entities": {"acq": "MPRAGE"}, "bids_confidence": 0.95, '
-        '"bids_path": "anat/sub-{subject}_ses-{session}_acq-MPRAGE_T1w"}\n'
-    )
+PATHS
+<datatype>/sub-{subject}_ses-{session}_<entity-value, in vocabulary order>_<suffix>
+
+ACQUISITIONS
+["""
+_REPLY = """]
+
+REPLY
+One JSON list of the same length and order. Fields of an element: bids_modality, bids_suffix, \
+bids_entities (object), bids_confidence (number), bids_path. No other text."""
 
 
 def _quoted(text: str) -> str:
@@ -448,14 +447,13 @@ def _program() -> str:
     return _with(["mapped"], " UNION ALL ".join(lines), {"r": _VARIANT_RULES})
 
 
-_RULE_BLOCK = """'Group ' || (pos + 1) || '\n  path: ' || bids_path
-  || '\n  protocol: ' || protocol_name || '\n  description: ' || series_description
-  || '\n  sequence: ' || sequence_name || '\n  dimensions: ' || dim1 || 'x' || dim2 || 'x' || dim3
-  || 'x' || dim4 || '\n  TR: ' || TR || ' ms\n  TE: ' || TE || ' ms\n  image type: ' || image_type
-  || '\n  derived: ' || is_derived || '\n  motion corrected: ' || is_motion_corrected
-  || '\n  series: ' || series_count || '\n  files: ' || total_files
-  || '\n  representative series: ' || representative_series_id
-  || '\n  example file: ' || example_dcm_file"""
+_RULE_BLOCK = '''\'{"target":"\' || bids_path || \'","protocol_name":"\' || protocol_name
+  || \'","series_description":"\' || series_description || \'","sequence_name":"\' || sequence_name
+  || \'","size":"\' || dim1 || 'x' || dim2 || 'x' || dim3 || 'x' || dim4 || \'","TR":"\' || TR
+  || \'","TE":"\' || TE || \'","is_derived":"\' || is_derived || \'","is_motion_corrected":"\'
+  || is_motion_corrected || \'","image_type":"\' || image_type || \'","series_count":"\'
+  || series_count || \'","total_files":"\' || total_files || \'","series_id":"\'
+  || representative_series_id || \'","example_dcm_file":"\' || example_dcm_file || \'"}\''''
 
 
 _UNITED = """
@@ -487,6 +485,25 @@ def sql() -> dict[str, str]:
   is_motion_corrected, image_type, series_files, example_dcm_file, dcm_dir_name FROM united""",
             {"united": _UNITED},
         ),
+        "written_texts": """SELECT concat_ws('-', conv_id, turn) AS series_id,
+  '"' || role || '"' || chr(9) || '"tab" and \\' || chr(10) || '"' || text || '"' AS note
+FROM conversations""",
+        "ingested_groups": _with(
+            ["ingested"],
+            f"""SELECT {_GROUP_ID} AS group_id, series_count, representative_series_id, total_files,
+  subject, session, example_dcm_file, dcm_dir_name FROM (SELECT study, {KEYS},
+  count(*) AS series_count, CAST(sum(series_files) AS BIGINT) AS total_files,
+  CAST(arg_min(series_id, o) AS VARCHAR) AS representative_series_id, arg_min(subject, o) AS subject,
+  arg_min(session, o) AS session, arg_min(example_dcm_file, o) AS example_dcm_file,
+  arg_min(dcm_dir_name, o) AS dcm_dir_name FROM ingested GROUP BY ALL)""",
+        ),
+        "conversation_programs": """
+SELECT conv_id, turn, contains(text, 'from heudiconv.utils import SeqInfo') AS has_imports,
+  contains(text, 'def create_key(') AS has_create_key,
+  contains(text, 'def infotodict(') AS has_infotodict,
+  contains(text, 'from heudiconv.utils import SeqInfo') AND contains(text, 'def create_key(')
+    AND contains(text, 'def infotodict(') AS accepted
+FROM conversations""",
         "subject_sessions": _with(
             ["paths"],
             """SELECT subject, session FROM (
@@ -497,17 +514,6 @@ def sql() -> dict[str, str]:
 QUALIFY session IS NOT NULL OR count(session) OVER (PARTITION BY subject) = 0""",
         ),
         "fingerprints": _with(["paths"], _FINGERPRINT.format(where="")),
-        "fingerprints_sampled": _with(
-            ["paths"],
-            """SELECT directory, md5(directory || ':' || epoch_ms(any_value(changed)) || ':' || count(*)
-  || ':' || string_agg(stamp, '|' ORDER BY rank)) AS fingerprint
-FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY path, stamp) AS rank,
-    max(modificationTime) OVER (PARTITION BY directory) AS changed
-  FROM (SELECT *, concat_ws(':', string_split(path, '/')[-1], length,
-      epoch_ms(modificationTime)) AS stamp,
-      array_to_string(string_split(path, '/')[:-2], '/') AS directory FROM paths))
-WHERE rank <= 10 GROUP BY directory""",
-        ),
         "changed_inputs": _with(
             ["paths"],
             """SELECT c.*, CASE WHEN s.fingerprint IS NULL THEN 'recompute' ELSE 'reuse' END AS status
@@ -568,7 +574,7 @@ FROM groups GROUP BY 1""",
         "top_groups": _with(
             ["numbered"],
             """SELECT study, CAST(group_no AS INTEGER) AS rank, series_count,
-  protocol_name[:25] AS protocol, series_description[:25] AS description,
+  protocol_name AS protocol, series_description AS description,
   dim1 || 'x' || dim2 || 'x' || dim3 AS dimensions,
   CAST(greatest((SELECT count(*) FROM groups) - 10, 0) AS BIGINT) AS n_more
 FROM numbered WHERE group_no <= 10""",
@@ -622,12 +628,8 @@ LEFT JOIN (SELECT datatype, list(short_name) AS allowed FROM entities GROUP BY 1
         "pattern_coverage": _coverage(combined=False),
         "pattern_coverage_combined": _coverage(combined=True),
         "fallback_mapping": _with(["mapped"], f"SELECT group_id, {_MAPPING} FROM mapped"),
-        "model_mapping": _with(
-            ["mapped"],
-            """SELECT group_id, bids_modality, bids_suffix, bids_entities,
-  CASE WHEN bids_modality = 'unknown' THEN 0.3e0 ELSE 0.6e0 END AS bids_confidence, bids_path,
-  'model' AS mapping_source, suffix_valid FROM mapped""",
-        ),
+        # A model without answers: the same as the keyword rules alone.
+        "model_mapping": _with(["mapped"], f"SELECT group_id, {_MAPPING} FROM mapped"),
         "mapping_metrics": _with(
             ["mapped"],
             """SELECT count(*) AS n_groups, count(*) FILTER (WHERE bids_path <> 'unmapped') AS n_mapped,
@@ -639,23 +641,22 @@ FROM mapped""",
         ),
         "top_mappings": _with(
             ["mapped"],
-            """SELECT series_count, protocol_name[:20] AS protocol, bids_path[:40] AS path,
+            """SELECT series_count, protocol_name AS protocol, bids_path AS path,
   bids_confidence, group_id FROM mapped WHERE bids_path <> 'unmapped'
 ORDER BY series_count DESC, group_id LIMIT 5""",
         ),
         "prompt_batches": _with(
             ["numbered"],
             f"""SELECT study, batch_id, 0 AS part, 0 AS first_pos, CAST(count(*) AS INTEGER) AS n_groups,
-  {_quoted(_prompt_context())} || '\n{inference.RECORDS_MARK}\n['
-  || string_agg({_RECORD}, ',\n' ORDER BY pos) || ']' || {_quoted(inference.CONTRACT)} AS prompt
+  {_quoted(_PROMPT)} || string_agg({_RECORD}, ',\n' ORDER BY pos) || {_quoted(_REPLY)} AS prompt
 FROM numbered GROUP BY study, batch_id""",
         ),
         "sequence_prompts": _with(
             ["numbered"],
-            """SELECT study, batch_id, 'Suggest a standard name for each of these scans:\n\n'
-  || string_agg((pos + 1) || '. Description: ''' || series_description || ''', Protocol: '''
-    || protocol_name || '''', '\n' ORDER BY pos)
-  || '\n\nAnswer line by line as: 1. [modality]/[filename_pattern] - [explanation]' AS prompt
+            """SELECT study, batch_id, 'Propose a file name for each numbered scan.\n'
+  || string_agg('#' || (pos + 1) || ' protocol=' || protocol_name || ' | description='
+    || series_description, '\n' ORDER BY pos)
+  || '\nReply with a line per scan: its number, a full stop, the name, '' - '', the reason.' AS prompt
 FROM numbered GROUP BY study, batch_id""",
         ),
         "response_recovery": _with(
@@ -740,11 +741,12 @@ FROM r LEFT JOIN series s ON {_THETA} AND {_IMAGE_FILTER} GROUP BY ALL""",
         "rule_prompts": _with(
             ["mapped"],
             f"""SELECT study, batch_id,
-  'Write a heuristic program from the mapped scan groups of study study (source scans, '
-  || (SELECT count(*) FROM groups) || ' groups, ' || (SELECT CAST(sum(series_count) AS BIGINT)
-  FROM groups) || ' series).\n\n' || string_agg({_RULE_BLOCK}, '\n\n' ORDER BY pos)
-  || '\n\nDefine create_key and infotodict, import SeqInfo from heudiconv.utils, '
-  || 'and answer with Python code only.' AS prompt
+  'TASK\nTurn the targets below into one heuristic program for study study, read from scans: '
+  || (SELECT CAST(sum(series_count) AS BIGINT) FROM groups) || ' series in '
+  || (SELECT count(*) FROM groups) || ' groups.\n\nTARGETS\n'
+  || string_agg({_RULE_BLOCK}, '\n' ORDER BY pos)
+  || '\n\nREPLY\nPython code alone, with SeqInfo from heudiconv.utils and the functions create_key '
+  || 'and infotodict.' AS prompt
 FROM mapped GROUP BY study, batch_id""",
         ),
         "study_summary": _with(

@@ -92,6 +92,47 @@ def scanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversation texts written as a table and read back, quotes and line breaks included."""
+    path = new_path(spark, "texts")
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    marks = F.concat(F.lit('"'), "role", F.lit('"\t"tab" and \\\n"'), "text", F.lit('"'))
+    sinks.write_table(
+        given.select(F.concat_ws("-", "conv_id", "turn").alias("series_id"), marks.alias("note")), path
+    )
+    return tables.read_table(spark, path).select("series_id", "note")
+
+
+@query
+def ingested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tables that were read from files: no row id, series ids repeat over subjects."""
+    root = new_path(spark, "tables")
+    series = views.series(spark, sf_dir).drop("row_ord")
+    sinks.write_table(series.withColumn("series_id", F.expr("series_id % 50")), root)
+    scanned = tables.read_session_tables(spark, root, pattern="*.csv").drop("row_ord")
+    return grouping.group_series(scanned).select(
+        "group_id",
+        "series_count",
+        "representative_series_id",
+        "total_files",
+        "subject",
+        "session",
+        "example_dcm_file",
+        "dcm_dir_name",
+    )
+
+
+@query
+def conversation_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The program check on texts that were not written for it."""
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    checked = inference.check_programs(texts.withColumnRenamed("text", "response"))
+    return checked.select(
+        "conv_id", "turn", "has_imports", "has_create_key", "has_infotodict", "accepted"
+    )
+
+
 @query
 def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.discover_sessions(views.paths(spark, sf_dir))
@@ -102,11 +143,6 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.fingerprints(views.paths(spark, sf_dir))
 
 
-@query
-def fingerprints_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.sampled_fingerprints(views.paths(spark, sf_dir))
-
-
 @query
 def changed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories that gained files since the listing of 1 January 2000."""
@@ -334,8 +370,9 @@ def sequence_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that gives no answers at all: every group falls back to the keyword rules."""
     mapped = inference.map_groups(
-        _numbered(spark, sf_dir), cat.seed_catalog(spark), inference.keyword_model()
+        _numbered(spark, sf_dir), cat.seed_catalog(spark), lambda: lambda prompts: []
     )
     return _mapping_columns(mapped, "group_id")
 

@@ -77,5 +77,16 @@ def with_study(df: DataFrame) -> DataFrame:
 
 
 def row_order(df: DataFrame) -> Column:
-    """The column that stands for input order: ``row_ord``, else ``series_id``."""
-    return F.col("row_ord") if "row_ord" in df.columns else F.col("series_id")
+    """What stands for input order: ``row_ord``, else a total order over what tells series apart.
+
+    Series ids repeat over sessions and are text, so the number comes first and further columns
+    decide; only rows that agree in all of them are tied, and those are interchangeable.
+    """
+    if "row_ord" in df.columns:
+        return F.col("row_ord")
+    further = ["subject", "session", "dcm_dir_name", "example_dcm_file", "series_files"]
+    return F.struct(
+        F.col("series_id").cast("string").try_cast("double").alias("number"),
+        F.col("series_id").cast("string").alias("id"),
+        *[F.col(c) for c in further if c in df.columns],
+    )

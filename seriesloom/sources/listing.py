@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from seriesloom.staging import stage
 
@@ -30,15 +29,13 @@ def relative_paths(listing: DataFrame, root: str) -> DataFrame:
     return listing.withColumn("path", below)
 
 
-def discover_sessions(
-    listing: DataFrame, max_subjects: int | None = None, max_pairs: int | None = None
-) -> DataFrame:
+def discover_sessions(listing: DataFrame) -> DataFrame:
     """``subject, session`` pairs of a tree, from paths relative to its root.
 
     Layouts in order: ``sub-*`` entries (sessions ``ses-*``, prefixes cut off); directories that
     start with a digit (sessions start with a digit or ``ses``, names whole); else the whole tree
     is subject ``01``. One layout holds for the whole tree. A subject without sessions has one
-    null session. Caps, if given, count in sorted order; ``max_subjects`` is for the second layout.
+    null session.
     """
     below = F.when(
         F.col("path").contains("/"),
@@ -69,9 +66,6 @@ def discover_sessions(
     best = found.agg(F.min("layout").alias("layout")).scalar()
     chosen = found.where(F.col("layout") == best)
     subjects = chosen.select("layout", "subject").distinct()
-    if max_subjects is not None:
-        kept = subjects.where("layout = 2").orderBy("subject").limit(max_subjects)
-        subjects = subjects.where("layout = 1").unionByName(kept)
     pairs = chosen.where(F.col("session").isNotNull()).join(
         subjects.select("subject"), "subject", "left_semi"
     )
@@ -81,14 +75,11 @@ def discover_sessions(
         .where(best.isNull())
         .select(F.lit("01").alias("subject"), F.lit(None).cast("string").alias("session"))
     )
-    result = (
+    return (
         pairs.select("subject", "session")
         .unionByName(alone.select("subject", F.lit(None).cast("string").alias("session")))
         .unionByName(whole_tree)
     )
-    if max_pairs is not None:
-        result = result.orderBy("subject", "session").limit(max_pairs)
-    return result
 
 
 # --- change detection ---------------------------------------------------------------------------
@@ -143,35 +134,6 @@ def fingerprints(listing: DataFrame, directory: Column | None = None) -> DataFra
     )
 
 
-def sampled_fingerprints(listing: DataFrame, sample_n: int = 10) -> DataFrame:
-    """As ``fingerprints`` from the first ``sample_n`` files by name and the latest change."""
-    files = listing.select(
-        _directory().alias("directory"), "path", "modificationTime", _stamp().alias("stamp")
-    )
-    by_name = W.partitionBy("directory").orderBy("path", "stamp")
-    sample = (
-        files.withColumn("rank", F.row_number().over(by_name))
-        .where(F.col("rank") <= sample_n)
-        .groupBy("directory")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "stamp"))).alias("s"))
-    )
-    latest = files.groupBy("directory").agg(F.max("modificationTime").alias("changed"))
-    return sample.join(latest, "directory").select(
-        "directory",
-        F.md5(
-            F.concat(
-                F.col("directory"),
-                F.lit(":"),
-                F.unix_millis(F.col("changed").cast("timestamp")).cast("string"),
-                F.lit(":"),
-                F.size("s").cast("string"),
-                F.lit(":"),
-                F.array_join(F.transform("s", lambda e: e["stamp"]), "|"),
-            )
-        ).alias("fingerprint"),
-    )
-
-
 def split_by_change(current: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Directories whose stored result can be reused, and those to compute again."""
     keys = ["directory", "fingerprint"]

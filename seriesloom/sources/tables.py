@@ -11,21 +11,20 @@ from pyspark.sql import types as T
 
 from seriesloom.functions import coerce
 from seriesloom.schema import EMPTY_COLUMNS, SERIES_SCHEMA
-from seriesloom.sources.listing import list_files
 
 SESSION_PATTERN = "dicominfo*.tsv"
 AGGREGATED_NAME = "aggregated_dicominfo.tsv"
 SINGLE_SESSION = "single_session"
-WHOLE_FILE_BYTES = 4 * 1024 * 1024
-# Headers of this many files (about 1 kB each) are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_FILES = 20_000
 
 # Other names under which tables carry the subject and session.
 _ALIASES = {"subject": "subject_id", "session": "session_id"}
 _KNOWN = [f.name for f in SERIES_SCHEMA.fields] + list(_ALIASES.values())
 # <subject>[/ses-<session>]/info/<table>
 _FROM_PATH = r"([^/]+?)(?:/ses-([^/]+))?/info/[^/]+$"
-_TAB_OUTSIDE_QUOTES = r'\t(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# A cell, quoted or plain, and the cells of one record. No part can give back what it has taken,
+# so a match is linear in the text.
+_CELL = r'(?:"(?:[^"]++|"")*+"[^\t\n]*+|[^\t\n]*+)'
+_RECORD = rf"{_CELL}(?:\t{_CELL})*+"
 
 
 # --- typing -----------------------------------------------------------------------------------
@@ -64,32 +63,38 @@ def to_series(raw: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """One tab-separated table, read in splits, typed as a series table."""
-    return to_series(spark.read.csv(path, sep="\t", header=True, inferSchema=False))
+    """One tab-separated table as ``write_table`` makes it, typed as a series table.
 
+    Quotes inside a value are doubled, and a quoted value may hold tabs and line breaks.
+    """
+    return to_series(
+        spark.read.csv(
+            path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', multiLine=True
+        )
+    )
 
-def _cells(line: Column, split_at: Column) -> Column:
-    """Cells of a line. The quote-aware split runs only on lines that have a quote."""
-    unquote = F.transform(
-        F.split(line, _TAB_OUTSIDE_QUOTES),
+
+def _cells(record: Column) -> Column:
+    """Cells of a record. The quote-aware form runs only on records that have a quote."""
+    quoted = F.transform(
+        # Each cell with the tab before it: the record gets one in front.
+        F.regexp_extract_all(F.concat(F.lit("\t"), record), F.lit(rf"\t({_CELL})"), F.lit(1)),
         lambda c: F.when(
             c.rlike(r'(?s)^".*"$'),
             F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
         ).otherwise(c),
     )
-    return F.when(line.contains('"'), unquote).otherwise(F.split(line, split_at))
+    return F.when(record.contains('"'), quoted).otherwise(F.split(record, "\t"))
 
 
-def _text_scan(
-    spark: SparkSession, root: str, pattern: str, whole: bool, skip_unreadable: bool
-) -> DataFrame:
-    reader = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", skip_unreadable)
-        .option("ignoreMissingFiles", skip_unreadable)
-    )
-    return reader.text(root, wholetext=whole)
+def _records(text: Column) -> Column:
+    """Records of a file's text: line breaks inside a quoted cell do not end one, a carriage return
+    before the line break does not belong to it, and empty lines are none."""
+    broken = F.when(
+        text.contains('"'), F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0))
+    ).otherwise(F.split(text, "\n"))
+    trimmed = F.transform(broken, lambda r: F.regexp_replace(r, r"\r$", ""))
+    return F.filter(trimmed, lambda r: r != "")
 
 
 def _binding(header: Column) -> Column:
@@ -97,7 +102,7 @@ def _binding(header: Column) -> Column:
 
     Computed once per file, so that lines only look up positions.
     """
-    names = _cells(header, F.lit("\t"))
+    names = _cells(header)
     others = F.array_sort(F.array_except(names, F.array(*[F.lit(n) for n in _KNOWN])))
     return F.struct(
         F.array(*[F.array_position(names, n).cast("int") for n in _KNOWN]).alias("at"),
@@ -114,81 +119,52 @@ def session_lines(
     spark: SparkSession,
     root: str,
     pattern: str = SESSION_PATTERN,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
     skip_unreadable: bool = True,
 ) -> DataFrame:
-    """``file_path, binding, line`` of every data line under ``root``.
+    """``file_path, binding, pos, line`` of every data record under ``root``.
 
-    Headers differ between files, so each line is bound to the header of its own file. Small
-    files are one row each and carry their header along. Files above ``whole_file_bytes`` are
-    read in splits and get their header by a join on the file, broadcast as long as they are
-    few. The size test is on file metadata, so each file is read one of the two ways only.
+    Headers differ between files, so each record is bound to the header of its own file, the first
+    record. A session's table is one row per series, so a file is read whole (up to 2 GB); all
+    files, whatever their size, are read this one way.
     """
-    n_large = (
-        list_files(spark, root, pattern)
-        .where(F.col("length") > whole_file_bytes)
-        .limit(MAX_BROADCAST_FILES + 1)
-        .count()
-    )
-    small = (
-        _text_scan(spark, root, pattern, True, skip_unreadable)
-        .where(F.col("_metadata.file_size") <= whole_file_bytes)
-        .select(F.col("_metadata.file_path").alias("file_path"), "value")
-        # The header is taken first, so that exploded lines do not drag the whole file along.
-        .withColumn("header", F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r")))
-        .withColumn("binding", _binding(F.col("header")))
-        .select("file_path", "binding", F.posexplode(F.split("value", r"\r?\n")))
-        .where("pos > 0")
-        .select("file_path", "binding", F.col("col").alias("line"))
+    reader = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
+        .option("ignoreCorruptFiles", skip_unreadable)
+        .option("ignoreMissingFiles", skip_unreadable)
     )
-    if n_large == 0:
-        return small.where(F.col("line") != "")
-    large = (
-        _text_scan(spark, root, pattern, False, skip_unreadable)
-        .where(F.col("_metadata.file_size") > whole_file_bytes)
+    return (
+        reader.text(root, wholetext=True)
         .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
+            F.col("_metadata.file_path").alias("file_path"), _records(F.col("value")).alias("records")
         )
+        # The header is taken first, so that exploded records do not drag the whole file along.
+        .withColumn("binding", _binding(F.coalesce(F.get("records", F.lit(0)), F.lit(""))))
+        .select("file_path", "binding", F.posexplode("records").alias("pos", "line"))
+        .where("pos > 0")
     )
-    # Ids grow along a split, and the split at offset 0 starts with the header.
-    headers = (
-        large.where("block_start = 0")
-        .withColumn("line_id", F.monotonically_increasing_id())
-        .groupBy("file_path")
-        .agg(F.min_by("line", "line_id").alias("header"))
-        .withColumn("binding", _binding(F.col("header")))
-    )
-    if n_large <= MAX_BROADCAST_FILES:
-        headers = F.broadcast(headers)
-    bound = (
-        large.join(headers, "file_path")
-        .where(F.col("line") != F.col("header"))
-        .select("file_path", "binding", "line")
-    )
-    return small.unionByName(bound).where(F.col("line") != "")
 
 
 def read_session_tables(
     spark: SparkSession,
     root: str,
     pattern: str = SESSION_PATTERN,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
     skip_unreadable: bool = True,
 ) -> DataFrame:
     """Every matching table below ``root``, united by column name and typed.
 
     Subject and session come from the table, else from the file's own path. Columns that a
-    series does not have are kept in ``extra`` as JSON, sorted by name.
+    series does not have are kept in ``extra`` as JSON, sorted by name. ``row_ord`` is the place of
+    a row in the input: its file, then its position there.
     """
-    bound = session_lines(spark, root, pattern, whole_file_bytes, skip_unreadable).withColumn(
-        "cells", _cells(F.col("line"), F.lit("\t"))
+    bound = session_lines(spark, root, pattern, skip_unreadable).withColumn(
+        "cells", _cells(F.col("line"))
     )
     at = F.col("binding.at")
     # One column per cell first: typing reads each several times.
     raw = bound.select(
         "file_path",
+        F.struct(F.col("file_path").alias("file"), "pos").alias("row_ord"),
         *[F.get("cells", F.get(at, F.lit(i)) - 1).alias(n) for i, n in enumerate(_KNOWN)],
         F.filter(
             F.transform(
@@ -207,6 +183,7 @@ def read_session_tables(
     return typed.select(
         *[f.name for f in SERIES_SCHEMA.fields],
         F.when(F.size("extra") > 0, F.to_json("extra")).alias("extra"),
+        "row_ord",
     )
 
 
@@ -219,8 +196,11 @@ def consolidate(tables: list[DataFrame]) -> DataFrame:
 
 
 def drop_repeats(series: DataFrame) -> DataFrame:
-    """Whole-row deduplication, nulls equal. Do it before adding any row order."""
-    return series.distinct()
+    """Whole-row deduplication, nulls equal. Of equal rows the first by ``row_ord`` stays."""
+    if "row_ord" not in series.columns:
+        return series.distinct()
+    values = [c for c in series.columns if c != "row_ord"]
+    return series.groupBy(*values).agg(F.min("row_ord").alias("row_ord")).select(*series.columns)
 
 
 def with_provenance(series: DataFrame) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import tempfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import SparkSession
 
+from seriesloom.functions import keywords
+from seriesloom.operators.inference import CONTRACT, RECORDS_MARK
+
 
 def local_session(cores: str | None = None) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "8")
@@ -17,6 +23,7 @@ def local_session(cores: str | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="seriesloom-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,3 +53,35 @@ def same_values(actual: pd.DataFrame, expected: pd.DataFrame) -> str:
         f"{len(left)} vs {len(right)} rows; {columns}\n  only ours: {only_left}"
         f"\n  only oracle: {only_right}"
     )
+
+
+def keyword_model() -> Callable[[], Callable[[list[str]], list[str]]]:
+    """Loader of a stand-in for a model, for tests alone: answers by the last-resort rules.
+
+    What it needs travels with it, so workers do not have to have this package installed.
+    """
+    rules, unknown, unmapped = keywords.LAST_RESORT, keywords.UNKNOWN, keywords.UNMAPPED
+    mark, contract = RECORDS_MARK, CONTRACT
+
+    def answer(prompt: str) -> str:
+        # The last mark opens the records; notes may contain the same words.
+        body = prompt.rsplit(mark, 1)[1].rsplit(contract, 1)[0]
+        mappings = []
+        for record in json.loads(body):
+            text = (record["protocol_name"] + record["series_description"]).lower()
+            mapping = {
+                "bids_modality": unknown,
+                "bids_suffix": unknown,
+                "bids_entities": {},
+                "bids_confidence": 0.6,
+                "bids_path": unmapped,
+            }
+            for words, datatype, suffix, task, path in rules:
+                if any(word in text for word in words):
+                    mapping.update(bids_modality=datatype, bids_suffix=suffix, bids_path=path)
+                    mapping["bids_entities"] = {"task": task} if task else {}
+                    break
+            mappings.append(mapping)
+        return json.dumps(mappings)
+
+    return lambda: lambda prompts: [answer(p) for p in prompts]

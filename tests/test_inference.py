@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import responses
 from seriesloom.operators import grouping, inference
 from seriesloom.plans import views
+from tests.support import keyword_model
 
 SF_DIR = "/root/testdata/sf0.001"
 ONE = '{"bids_modality": "anat", "bids_suffix": "T1w"}'
@@ -106,7 +107,7 @@ def test_batches_are_consecutive_tens(spark, numbered):
 def test_prompts_split_instead_of_being_cut(spark, catalog, numbered):
     batched = inference.assign_batches(numbered)
     whole = inference.build_prompts(batched, catalog, "note").collect()
-    assert len(whole) == 87 and all("Study notes:\nnote" in r["prompt"] for r in whole)
+    assert len(whole) == 87 and all("NOTES\nnote" in r["prompt"] for r in whole)
     limit = len(whole[0]["prompt"]) - 1000
     split = inference.build_prompts(batched, catalog, "note", max_chars=limit).collect()
     assert len(split) > 87 and max(len(r["prompt"]) for r in split) <= limit
@@ -136,7 +137,7 @@ def test_record_defaults(spark):
 def test_split_prompts_map_to_the_right_groups(spark, catalog, numbered):
     plain = inference.map_by_keywords(numbered, catalog)
     mapped = inference.map_groups(
-        numbered, catalog, inference.keyword_model(), max_chars=2500, batch_size=7
+        numbered, catalog, keyword_model(), max_chars=2500, batch_size=7
     )
     assert {r[0] for r in mapped.select("mapping_source").distinct().collect()} == {"model"}
     columns = ["group_id", "bids_modality", "bids_suffix", "bids_path", "suffix_valid"]
@@ -147,9 +148,39 @@ def test_model_failures_fall_back(spark, catalog, numbered):
     def load():
         return lambda prompts: [None if i % 2 else "no json" for i, _ in enumerate(prompts)]
 
-    mapped = inference.map_groups(numbered, catalog, load)
-    counts = mapped.groupBy("mapping_source").count().collect()
-    assert [tuple(r) for r in counts] == [("fallback", 862)]
+    def short():
+        return lambda prompts: ["[]"][: len(prompts) - 1]
+
+    def broken():
+        def fail(prompts):
+            raise RuntimeError("out of memory")
+
+        return fail
+
+    for loader in (load, short, broken):
+        mapped = inference.map_groups(numbered, catalog, loader)
+        counts = mapped.groupBy("mapping_source").count().collect()
+        assert [tuple(r) for r in counts] == [("fallback", 862)]
+    prompts = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
+    errors = inference.complete(prompts, broken).collect()
+    assert {r["model_error"] for r in errors} == {"RuntimeError: out of memory"}
+    extra = inference.complete(prompts, lambda: lambda p: ["x"] * 9).collect()
+    assert [(r["response"], r["model_error"]) for r in extra] == [("x", None)] * 2
+
+
+def test_repeated_entities_give_one_path_part(spark, catalog):
+    answer = '[{"bids_modality": "func", "bids_suffix": "bold", "bids_entities": {"task":"a","run":"1","task":"b"}}]'
+    groups = spark.createDataFrame(
+        [("s", 0, 0, "g", "p", "d")],
+        "study string, batch_id bigint, pos int, group_id string, protocol_name string, "
+        "series_description string",
+    )
+    answered = groups.selectExpr("study", "batch_id", "0 AS first_pos", "1 AS n_groups").withColumn(
+        "response", F.lit(answer)
+    )
+    row = inference.attach_mappings(groups, inference.recover_mappings(answered), catalog).first()
+    assert row["bids_entities"] == {"task": "b", "run": "1"}
+    assert row["bids_path"] == "func/sub-{subject}_ses-{session}_task-b_run-1_bold"
 
 
 def test_surplus_and_missing_mappings(spark, catalog):
@@ -185,10 +216,10 @@ def test_numbered_lines(spark):
     assert found == {"sequence_1": "last", "sequence_2": "plain. name", "sequence_10": "b"}
 
 
-def test_sequence_list_is_cut_to_the_shorter(spark):
+def test_sequence_list_keeps_the_longer_list(spark):
     df = spark.createDataFrame([(["a", "b"], ["p"])], "d array<string>, p array<string>")
     text = df.select(inference.sequence_list_prompt(F.col("d"), F.col("p"))).first()[0]
-    assert "1. Description: 'a', Protocol: 'p'" in text and "2. " not in text
+    assert "#1 protocol=p | description=a\n#2 protocol=Unknown | description=b\n" in text
 
 
 def test_program_check(spark):

@@ -240,3 +240,29 @@ def test_catch_all(spark, series):
     rows = rules.catch_all(series)
     assert rows.count() == series.count()
     assert {r[0] for r in rows.select("key_name").distinct().collect()} == {"run{item:03d}"}
+
+
+def test_large_times_are_matched(spark):
+    """Values beyond whole-number buckets, and on both sides of the limit."""
+    values = [2e15, 1e15 - 10, 1e15 + 10, 5e17, 1e300, 100.0, 130.0]
+    columns = "study string, key_name string, protocol_name string, series_description string, "
+    columns += "sequence_name string, TR double, TE double, is_derived boolean, "
+    columns += "is_motion_corrected boolean, variant string, image_type string, bids_path string"
+    made = spark.createDataFrame(
+        [("study", f"k{i}", "t1", "", "", v, 0.0, False, False, "", "", "p") for i, v in enumerate(values)],
+        columns,
+    )
+    series = spark.createDataFrame(
+        [("study", i, "t1 x", "", "", v, 0.0) for i, v in enumerate(values)],
+        "study string, series_id bigint, protocol_name string, series_description string, "
+        "sequence_name string, TR double, TE double",
+    )
+    tuples = rules.attribute_tuples(series)
+    found = {(r["key_name"], r["series_id"]) for r in rules.apply_rules(made, series, tuples).collect()}
+    want = {
+        (f"k{i}", j)
+        for i, a in enumerate(values)
+        for j, b in enumerate(values)
+        if abs(a - b) < rules.TR_TOLERANCE
+    }
+    assert found == want
