@@ -90,6 +90,8 @@ class Catalog:
     entities: dict[str, tuple[str, str, str]]
     entity_order: tuple[str, ...]
     rules: tuple[Rule, ...]
+    # name -> (display name, description)
+    suffixes: dict[str, tuple[str, str]]
 
     def raw_rules(self, datatype: str) -> list[Rule]:
         return [r for r in self.rules if r.source == "raw" and r.datatype == datatype]
@@ -132,6 +134,7 @@ def seed_catalog(spark: SparkSession) -> Catalog:
             )
             for d in MRI_DATATYPES
         ),
+        suffixes={s: (s, "") for names in DATATYPE_SUFFIXES.values() for s in names},
     )
 
 
@@ -164,6 +167,7 @@ CATALOG_SCHEMA = T.StructType(
                     T.StructField("entities", T.MapType(T.StringType(), _NAMED)),
                     T.StructField("modalities", T.MapType(T.StringType(), _NAMED)),
                     T.StructField("datatypes", T.MapType(T.StringType(), _NAMED)),
+                    T.StructField("suffixes", T.MapType(T.StringType(), _NAMED)),
                 ]
             ),
         ),
@@ -230,12 +234,14 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
             F.col("e.value.description").alias("description"),
             F.col("e.value.format").alias("format"),
             F.col("e.value.order").try_cast("int").alias("rank"),
+            F.col("e.value.value").alias("value"),
         )
 
     names = (
         named("modality", "objects.modalities")
         .unionByName(named("datatype", "objects.datatypes"))
         .unionByName(named("entity", "objects.entities"))
+        .unionByName(named("suffix", "objects.suffixes"))
     )
     raw = (
         tree.select(F.posexplode(F.map_entries("rules.files.raw")).alias("outer", "d"))
@@ -331,6 +337,12 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
             )
             for r in rules
         ),
+        suffixes={
+            # A suffix's entry says its name in ``value``; its key is the fallback.
+            r["value"] or r["name"]: (r["display_name"] or r["name"], r["description"] or "")
+            for r in vocabulary
+            if r["kind"] == "suffix"
+        },
     )
 
 

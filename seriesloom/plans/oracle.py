@@ -160,7 +160,22 @@ SHORT = _values(
     "entity, short_name, pos",
 )
 
+# Many studies: one per protocol and sequence.
+_STUDY = "protocol_name || '/' || COALESCE(sequence_name, 'none')"
+_MANY_STUDIES = f"""
+SELECT {_STUDY} AS study, {KEYS}, count(*) AS n FROM coerced
+WHERE protocol_name IS NOT NULL AND series_description IS NOT NULL
+  AND sequence_name IS NOT NULL AND image_type IS NOT NULL GROUP BY ALL"""
+_STUDY_SOURCES = f"""
+SELECT s.study, CASE WHEN COALESCE(bool_or(regexp_matches({_FALLBACK_TEXT},
+    't1|mprage|anatomical|t2|flair|bold|fmri|functional')), false) THEN 'rules'
+  WHEN count(g.study) > 10 THEN 'model' ELSE 'catch_all' END AS source
+FROM (SELECT DISTINCT {_STUDY} AS study FROM series) s
+LEFT JOIN many_studies g ON g.study = s.study GROUP BY s.study"""
+
 CTES = {
+    "many_studies": _MANY_STUDIES,
+    "study_sources": _STUDY_SOURCES,
     "series": SERIES_SQL,
     "paths": PATHS_SQL,
     "coerced": COERCED,
@@ -184,6 +199,8 @@ NEEDS = {
     "groups": ["coerced"],
     "numbered": ["groups"],
     "ingested": ["coerced"],
+    "many_studies": ["coerced"],
+    "study_sources": ["many_studies"],
     "mapped": ["numbered"],
     "classified": ["coerced"],
     "parsed": ["paths"],
@@ -738,6 +755,17 @@ FROM r LEFT JOIN series s ON {_THETA} AND {_IMAGE_FILTER} GROUP BY ALL""",
             ["series"],
             "SELECT 'study' AS study, 'run{item:03d}' AS key_name, series_id FROM series",
         ),
+        "result_sources": _with(["study_sources"], "SELECT study, source FROM study_sources"),
+        "catch_all_studies": _with(
+            ["study_sources", "series"],
+            f"""SELECT {_STUDY} AS study, 'run{{item:03d}}' AS key_name, series_id FROM series
+WHERE {_STUDY} IN (SELECT study FROM study_sources WHERE source = 'catch_all')""",
+        ),
+        "study_groups": _with(
+            ["many_studies"],
+            """SELECT study, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_series
+FROM many_studies GROUP BY study""",
+        ),
         "rule_prompts": _with(
             ["mapped"],
             f"""SELECT study, batch_id,

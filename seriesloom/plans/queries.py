@@ -501,6 +501,44 @@ def catch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.catch_all(views.series(spark, sf_dir))
 
 
+def _studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series as many studies, one per protocol and sequence."""
+    name = F.concat("protocol_name", F.lit("/"), F.coalesce("sequence_name", F.lit("none")))
+    return views.series(spark, sf_dir).withColumn("study", name)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = _studies(spark, sf_dir)
+    groups = stage(grouping.group_series(series), "groups")
+    numbered = stage(grouping.number_groups(groups), "numbered")
+    mapped = inference.map_by_keywords(numbered, cat.seed_catalog(spark))
+    programs = inference.check_programs(
+        views.program_answers(inference.assign_batches(numbered).where("batch_id > 0"))
+    )
+    return rules.choose_sources(series, rules.build_rules(mapped, drop_unmapped=True), programs)
+
+
+@query
+def result_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which result each of many studies gets."""
+    return _sources(spark, sf_dir)
+
+
+@query
+def catch_all_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catch-all of the studies that have neither rules nor an accepted program."""
+    return rules.catch_all(_studies(spark, sf_dir), stage(_sources(spark, sf_dir), "sources"))
+
+
+@query
+def study_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbering within each of many studies."""
+    groups = stage(grouping.group_series(_studies(spark, sf_dir)), "groups")
+    return grouping.number_groups(groups).groupBy("study").agg(
+        F.max("group_no").alias("n_groups"), F.sum("series_count").alias("n_series")
+    )
+
+
 @query
 def rule_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = inference.assign_batches(_mapped_numbered(spark, sf_dir))
