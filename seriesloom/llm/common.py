@@ -57,15 +57,9 @@ def slices(
             start = stop
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of the input as the planner knows it; used for partition numbers alone."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 60)
-
-
-def partitions_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 200_000) -> int:
-    """How many partitions of about ``bytes_each`` the input fills."""
-    return max(least, min(most, table_bytes(df) // bytes_each))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of a text column, counted by one aggregate; used for numbers of partitions alone."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
 
 
 def labelled_sample(

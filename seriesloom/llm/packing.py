@@ -33,7 +33,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import partitions_for
 from seriesloom.staging import stage
 
 CAPACITY = 1024
@@ -254,8 +253,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """Every piece with its sequence and its offset there."""
-    blocks = partitions_for(docs, 1 << 20, least=64)
-    pieces = stage(cut(docs, vocabulary, capacity), "pieces").withColumn(
+    pieces = stage(cut(docs, vocabulary, capacity), "pieces")
+    blocks = max(64, pieces.count() // 4096)
+    pieces = pieces.withColumn(
         "_block", F.pmod(F.xxhash64("doc_id", "doc_tokens", "start"), F.lit(blocks))
     )
     counts = stage(pieces.groupBy("length", "_block").agg(F.count("*").alias("n")), "piece-counts")

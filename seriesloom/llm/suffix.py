@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import packed, table_bytes, whole_text
+from seriesloom.llm.common import packed, text_bytes, whole_text
 
 LENGTH = 50
 GRAM = 16
@@ -455,9 +455,9 @@ def _digests(block: Block, gone: np.ndarray) -> dict[str, pa.Array]:
 
 
 def sizing(docs: DataFrame) -> tuple[int, int]:
-    """Numbers of blocks and buckets: about 2 MB a block up to 4096 blocks, then up to 64 MB."""
-    size = table_bytes(docs)
-    blocks = max(16, min(4096, size >> 21), size >> 26)
+    """Numbers of blocks and buckets: about 4 MB of text a block up to 4096 blocks, then 128 MB."""
+    size = text_bytes(docs)
+    blocks = max(16, min(4096, size >> 22), size >> 27)
     return blocks, max(64, min(16384, 2 * blocks))
 
 
@@ -538,6 +538,15 @@ def removals(docs: DataFrame) -> DataFrame:
     return spread.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, RESULT)
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every nested field nullable, as a schema string declares it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    return kind
+
+
 def without_passages(docs: DataFrame) -> DataFrame:
     """The documents with the repeated bytes taken out of their texts, other columns as they are
     (``n_chars`` is counted anew where there is one).
@@ -568,7 +577,8 @@ def without_passages(docs: DataFrame) -> DataFrame:
             text = kept.tobytes().decode("utf-8", "ignore")
             keep[i] = not (changed[i] and not text.strip())
             texts.append(None if nulls[i] else text)
-        table = pa.table({"text": pa.array(texts, pa.string()), "row": rows.column("row")})
+        row = rows.column("row")
+        table = pa.table({"text": pa.array(texts, pa.string()), "row": row.cast(_nullable(row.type))})
         return table.filter(pa.array(keep))
 
     row_type = slim.schema["row"].dataType
