@@ -7,7 +7,7 @@ Pairs within ``RADIUS`` bits are found by a covering family: each bit position g
 ``RADIUS + 1`` bits other than zero; table ``v`` keeps the positions whose vector has an odd inner
 product with ``v``. Any ``RADIUS`` positions leave some ``v`` orthogonal to all their vectors, so
 two fingerprints that differ in at most ``RADIUS`` places are equal in that table. With 31 tables
-for radius 4 no pair is missed; each table compares 32 or more bits.
+for radius 4 no pair is missed; each table compares 32 bits, one all 64.
 
 Scale: documents collapse to distinct fingerprints first, so copies cost nothing further. A
 bucket is linked inside one task, by exact comparison in blocks; buckets emit a spanning forest,
@@ -141,7 +141,8 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
     """One mask per table: every set of ``radius`` positions is outside some mask."""
-    vectors = [1 + k % ((1 << (radius + 1)) - 1) for k in range(bits)]
+    # A leading one, then counting: every v finds half of them odd, or all.
+    vectors = [(1 << radius) + k % (1 << radius) for k in range(bits)]
     masks = []
     for v in range(1, 1 << (radius + 1)):
         masks.append(sum(1 << k for k, m in enumerate(vectors) if (m & v).bit_count() & 1))
