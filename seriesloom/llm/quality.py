@@ -30,6 +30,7 @@ GRAMS = (3, 4)
 DIMENSIONS = 6
 SAMPLE_PER_CLASS = {0: 1200, 1: 2000}
 SAMPLE_CHARS = 60_000
+LEAST_STEPS = 600
 
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -147,7 +148,10 @@ def fit(
     batch: int = 32,
     seed: int = 7,
 ) -> SubwordModel:
-    """Learn from (text, class) pairs by stochastic gradient descent."""
+    """Learn from (text, class) pairs by stochastic gradient descent.
+
+    A small sample is gone through more often than ``epochs``, so that it takes ``LEAST_STEPS`` steps.
+    """
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / dimensions, (1 << bits, dimensions)).astype(np.float32)
     layer = rng.normal(0, 0.5, (dimensions, classes)).astype(np.float32)
@@ -156,7 +160,9 @@ def fit(
         return SubwordModel(table, layer * 0, bias, bits)
     y = np.array([c for _, c in sample])
     bags = _bags([t for t, _ in sample], bits)
-    steps, done = epochs * -(-len(bags) // batch), 0
+    each = -(-len(bags) // batch)
+    epochs = max(epochs, min(80, -(-LEAST_STEPS // each)))
+    steps, done = epochs * each, 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
