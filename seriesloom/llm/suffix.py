@@ -4,7 +4,7 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts in a documen
 removed; all strings are judged on the input.
 
 Finding where to look. The windows of ``LENGTH`` bytes of a document are put into segments: runs of
-windows that share their anchor, the smallest hash of the 16-byte strings in the window. Equal
+windows that share their anchor, the smallest hash of the 24-byte strings in the window. Equal
 windows have equal anchors, so equal windows of different documents meet at their anchor. Documents
 are spread over blocks by a hash of their id, anchors over buckets. Per block and bucket one message
 holds (anchor, hash of the segment's text, smallest id that has it); a bucket replies with two bits
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import packed, text_bytes, whole_text
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 MOST_WINDOWS = 64
 CHUNK_BYTES = 1 << 18
 _NULL_ID = np.int64(np.iinfo(np.int64).max)
@@ -75,14 +75,16 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64))
-    wide = np.concatenate([data, np.zeros(16, np.uint8)])
+    wide = np.concatenate([data, np.zeros(GRAM, np.uint8)])
 
     def longs(at: int) -> np.ndarray:
         return np.ndarray((n,), "<u8", wide, at, (1,))
 
     grams = longs(0) * np.uint64(_BASE)
     grams ^= grams >> np.uint64(29)
-    grams = _mix(grams * _M2 + longs(8))
+    grams = (grams + longs(8)) * _M2
+    grams ^= grams >> np.uint64(32)
+    grams = _mix(grams + longs(16))
     least, size, span = grams, 1, LENGTH - GRAM + 1
     while 2 * size <= span:
         least = np.minimum(least[:-size], least[size:])
@@ -281,6 +283,83 @@ def read_texts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 # --- the index ---------------------------------------------------------------------------------
 
 
+class _Bits:
+    """Set positions below ``n``, with their number up to any position in constant time."""
+
+    def __init__(self, positions: np.ndarray, n: int):
+        bits = np.zeros((n // 64 + 1) * 64, np.uint8)
+        bits[positions] = 1
+        self.words = np.packbits(bits, bitorder="little").view("<u8")
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(ones) - ones
+
+    def last(self, at: np.ndarray) -> np.ndarray:
+        """Index, among the set positions, of the last one at or before each position."""
+        word = at >> 6
+        seen = self.words[word] & (_ALL >> (63 - (at & 63)).astype(np.uint64))
+        return self.before[word] + np.bitwise_count(seen) - 1
+
+
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffixes in order; text ends (symbol 0) differ and are ordered by text.
+
+    Prefix doubling from seven symbols on, where only suffixes that still share their rank with
+    another are sorted again. A rank is the row of the first suffix that has it.
+    """
+    n = len(symbols)
+    if not n:
+        return np.zeros(0, np.int64)
+    key = np.zeros(n, np.int64)
+    padded = np.concatenate([symbols, np.zeros(7, np.int64)])
+    open_ = np.ones(n, bool)  # no end among the symbols so far
+    for k in range(7):
+        key = (key << 9) | np.where(open_, padded[k : k + n], 0)
+        open_ &= padded[k : k + n] != 0
+    # Suffixes with an end among the first seven symbols differ by that end: equal keys are told
+    # apart by the text, which for them is the order of position.
+    order = np.argsort(key, kind="stable")
+    fresh = np.ones(n, bool)
+    fresh[1:] = (key[order][1:] != key[order][:-1]) | ~open_[order][1:]
+    size, same = 7, ~fresh
+    ranks = np.empty(n, np.int64)
+    ranks[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    while same.any():
+        tied = same.copy()
+        tied[:-1] |= same[1:]
+        rows = np.flatnonzero(tied)
+        at = order[rows]
+        group = ranks[at]
+        ahead = ranks[at + size]  # there is one: tied suffixes have no end among their symbols
+        by = np.lexsort((ahead, group)) if n > 1 << 31 else np.argsort(group * n + ahead)
+        at, group, ahead = at[by], group[by], ahead[by]
+        order[rows] = at
+        new = np.ones(len(rows), bool)
+        new[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
+        same[rows] = ~new
+        ranks[at] = np.maximum.accumulate(np.where(new, rows, 0))
+        size *= 2
+    return order
+
+
+def _shares(symbols: np.ndarray, order: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix in order has ``length`` symbols before its text's end and shares them with
+    the one above. Compared eight symbols at a time, for those that agree so far."""
+    result = np.zeros(len(order), bool)
+    rows = np.flatnonzero((room[1:] >= length) & (room[:-1] >= length)) + 1
+    data = np.concatenate([(symbols - 1).astype(np.uint8), np.zeros(8, np.uint8)])
+    longs = np.ndarray((len(symbols),), "<u8", data, 0, (1,))
+    for at in [*range(0, length - 7, 8), *([length - 8] if length >= 8 else [])]:
+        rows = rows[longs[order[rows] + at] == longs[order[rows - 1] + at]]
+    if length < 8:
+        for at in range(length):
+            rows = rows[data[order[rows] + at] == data[order[rows - 1] + at]]
+    result[rows] = True
+    return result
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of a set of texts.
 
@@ -288,6 +367,7 @@ class RunIndex:
     occurs in earlier runs; ``samples``: text position at the first and last row of each run.
     Symbol 0 ends a text (ends are ordered by text), byte ``b`` is symbol ``b + 1``. ``classes`` are
     the first rows of the sets of suffixes that share ``length`` bytes, ``owners`` their smallest id.
+    Runs and classes are found from a row through bit vectors.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH):
@@ -299,36 +379,11 @@ class RunIndex:
         inside[ends] = False
         symbols[inside] = data.astype(np.int64) + 1
         self.length, self.ends, self.n = length, ends, n
-        ranks = np.where(inside, symbols + texts, 0)
-        ranks[ends] = np.arange(texts)
-        steps = {1: ranks.astype(np.int32)}
-        order, size = np.argsort(ranks, kind="stable"), 1
-        deepest = int(sizes.max()) + 1 if texts else 1
-        while size < max(deepest, length):
-            ahead = np.full(n, -1, np.int64)
-            ahead[: n - size] = ranks[size:]
-            key = ranks * (n + texts + 300) + ahead + 1
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            fresh = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-            ranks = np.empty(n, np.int64)
-            ranks[order] = fresh
-            size *= 2
-            steps[size] = ranks.astype(np.int32)
-            del ahead, key, ranked, fresh
-        self.order_rank = ranks
-        # Rows that share `length` symbols with the row above: equal ranks of the powers of two
-        # that add up to it.
-        same = np.ones(max(n - 1, 0), bool)
-        at = 0
-        for power in sorted(steps, reverse=True):
-            if at + power <= length:
-                pad = np.concatenate([steps[power], np.full(length, -1, np.int32)])
-                up, down = pad[order[:-1] + at], pad[order[1:] + at]
-                same &= (up == down) & (up >= 0)
-                at += power
-        self.classes = np.flatnonzero(np.concatenate([[True], ~same])) if n else np.zeros(0, int)
-        of_text = np.searchsorted(ends, order)
+        order = _suffix_order(symbols, ends)
+        self.order = order
+        of_text = np.repeat(np.arange(texts), sizes + 1)[order]
+        first = ~_shares(symbols, order, ends[of_text] - order, length)
+        self.classes = np.flatnonzero(first)
         self.owners = np.minimum.reduceat(ids[of_text], self.classes) if n else np.zeros(0, int)
         previous = symbols[order - 1]  # before position 0 stands the last end
         change = np.concatenate([[True], previous[1:] != previous[:-1]]) if n else np.zeros(0, bool)
@@ -341,13 +396,15 @@ class RunIndex:
         lowest = sums[np.searchsorted(heads, heads)] if n else sums
         self.before = np.empty(len(by), np.int64)
         self.before[by] = sums - lowest
-        self.below = np.searchsorted(np.sort(symbols), np.arange(258)) if n else np.zeros(258, int)
+        counts = np.bincount(symbols, minlength=258)
+        self.below = np.cumsum(counts) - counts
         last = np.append(self.starts[1:], n) - 1
         self.samples = (order[self.starts], order[last])
+        self.run_bits, self.class_bits = _Bits(self.starts, n), _Bits(self.classes, n)
 
     def back(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes one symbol longer, and that symbol (last-to-first mapping)."""
-        run = np.searchsorted(self.starts, rows, side="right") - 1
+        run = self.run_bits.last(rows)
         head = self.heads[run]
         return self.below[head] + self.before[run] + rows - self.starts[run], head
 
@@ -355,7 +412,7 @@ class RunIndex:
         """Text position of a row: steps back until a row at the end of a run is met."""
         steps = 0
         while True:
-            run = int(np.searchsorted(self.starts, row, side="right")) - 1
+            run = int(self.run_bits.last(np.array([row]))[0])
             last = (self.starts[run + 1] if run + 1 < len(self.starts) else self.n) - 1
             if row == self.starts[run]:
                 return int(self.samples[0][run]) + steps
@@ -372,13 +429,13 @@ class RunIndex:
         texts, places, owners = [], [], []
         for done in range(1, int(sizes.max(initial=0)) + 1):
             more = sizes[live] >= done
-            live, rows = live[more], rows[more]
+            if not more.all():
+                live, rows = live[more], rows[more]
             rows, _ = self.back(rows)
             if done >= self.length:
-                kind = np.searchsorted(self.classes, rows, side="right") - 1
                 texts.append(live)
                 places.append(sizes[live] - done)
-                owners.append(self.owners[kind])
+                owners.append(self.owners[self.class_bits.last(rows)])
         join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
         return join(texts), join(places), join(owners)
 
