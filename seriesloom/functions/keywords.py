@@ -19,6 +19,7 @@ CASCADE_WORDS = {
     "fieldmap": ["fieldmap", "field", "b0", "shim"],
     "perfusion": ["asl", "perfusion", "pcasl", "pasl"],
 }
+# Words that tell the phase-encoding direction.
 AP_WORDS = ["ap", "anterior", "posterior"]
 PA_WORDS = ["pa", "posterior", "anterior"]
 

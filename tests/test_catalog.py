@@ -174,3 +174,24 @@ def test_conformance_of_paths(spark, catalog):
         ("anat", "T1w", "task"): (1, "uncovered"),
         ("anat", "bold", ""): (1, "uncovered"),
     }
+
+
+def test_suffix_objects_are_read(spark, tmp_path):
+    """Suffixes of the vocabulary, under their value, whether or not a rule uses them."""
+    document = {
+        "schema_version": "1.0.0",
+        "objects": {
+            "suffixes": {
+                "T1w": {"value": "T1w", "display_name": "T1-weighted"},
+                "two_d": {"value": "2d", "description": "flat"},
+                "bold": {},
+            },
+            "modalities": {"mri": {}},
+        },
+        "rules": {"files": {"raw": {"anat": {"r": {"suffixes": ["T1w"]}}}}},
+    }
+    path = tmp_path / "schema.json"
+    path.write_text(json.dumps(document))
+    found = cat.load_catalog(spark, str(path)).suffixes
+    assert found == {"T1w": ("T1-weighted", ""), "2d": ("two_d", "flat"), "bold": ("bold", "")}
+    assert {"T1w", "bold"} <= set(cat.seed_catalog(spark).suffixes)
