@@ -530,6 +530,11 @@ FROM conversations""",
   FROM paths WHERE starts_with(path, 'sub-'))
 QUALIFY session IS NOT NULL OR count(session) OVER (PARTITION BY subject) = 0""",
         ),
+        "numbered_sessions": """SELECT subject, session FROM (
+  SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS subject,
+    CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 3 AS VARCHAR) END AS session FROM orders)
+QUALIFY session IS NOT NULL OR count(session) OVER (PARTITION BY subject) = 0""",
+        "flat_session": "SELECT '01' AS subject, CAST(NULL AS VARCHAR) AS session",
         "fingerprints": _with(["paths"], _FINGERPRINT.format(where="")),
         "changed_inputs": _with(
             ["paths"],

@@ -138,6 +138,29 @@ def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.discover_sessions(views.paths(spark, sf_dir))
 
 
+@query
+def numbered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories named by numbers: customer, order number modulo 3 unless 0, file."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    part = F.col("o_orderkey") % 3
+    path = F.concat(
+        F.col("o_custkey").cast("string"),
+        F.lit("/"),
+        F.when(part == 0, "").otherwise(F.concat(part.cast("string"), F.lit("/"))),
+        F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".dcm")),
+    )
+    return listing.discover_sessions(orders.select(path.alias("path")))
+
+
+@query
+def flat_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without any directory are one subject."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return listing.discover_sessions(
+        orders.select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"))
+    )
+
+
 @query
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.fingerprints(views.paths(spark, sf_dir))
