@@ -10,8 +10,8 @@ two fingerprints that differ in at most ``RADIUS`` places are equal in that tabl
 for radius 4 no pair is missed; each table compares 32 bits, one all 64.
 
 Scale: documents collapse to distinct fingerprints first, so copies cost nothing further. A
-bucket is linked inside one task, by exact comparison in blocks; buckets emit a spanning forest,
-never all pairs. Components then come from label propagation on those links, in shared storage.
+bucket is linked inside one task, by exact comparison; buckets emit a spanning forest, never all
+pairs. Components then come from label propagation on those links, in shared storage.
 
 Defined results: null and empty texts, and those without a word, have fingerprint zero and are
 linked like any other. A text of fewer words than a shingle has one shingle, all its words.
@@ -35,7 +35,6 @@ from seriesloom.staging import stage
 WORDS = 4
 RADIUS = 4
 SEED = 42
-BLOCK = 1024
 
 # The five primes of XXH64.
 _P = [
@@ -152,45 +151,20 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
 def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links (index pairs) that span each component of distinct values within ``radius``.
 
-    Blocks are compared exactly; a block that is already one component with another is skipped.
+    A value is compared with those that no component has yet, once: a dense group is one component
+    after its first value, and only values without neighbours are compared with all others.
     """
-    n = len(values)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-
-    def join(a: int, b: int) -> None:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            links.append((a, b))
-
-    if n > BLOCK:  # near neighbours by sorted look-up first, so that dense groups are one soon
-        order = np.argsort(values)
-        ranked = values[order]
-        for bit in range(64):
-            other = ranked ^ np.uint64(1 << bit)
-            at = np.minimum(np.searchsorted(ranked, other), n - 1)
-            for i in np.flatnonzero((ranked[at] == other) & (other > ranked)):
-                join(int(order[i]), int(order[at[i]]))
-    for lo in range(0, n, BLOCK):
-        rows = np.arange(lo, min(n, lo + BLOCK))
-        for start in range(lo, n, BLOCK):
-            cols = np.arange(start, min(n, start + BLOCK))
-            here = np.array([root(i) for i in rows])
-            there = np.array([root(i) for i in cols])
-            if len(np.unique(np.concatenate([here, there]))) == 1:
-                continue
-            near = np.bitwise_count(values[rows][:, None] ^ values[cols][None, :]) <= radius
-            near &= here[:, None] != there[None, :]
-            for a, b in zip(*np.nonzero(near)):
-                join(int(rows[a]), int(cols[b]))
+    unseen, links = np.arange(len(values)), []
+    while len(unseen) > 1:
+        waiting, unseen = [int(unseen[0])], unseen[1:]
+        while waiting and len(unseen):
+            at = waiting.pop()
+            near = np.bitwise_count(values[unseen] ^ values[at]) <= radius
+            if near.any():
+                found = unseen[near].tolist()
+                unseen = unseen[~near]
+                links += [(at, other) for other in found]
+                waiting += found
     return links
 
 
