@@ -54,6 +54,57 @@ def test_similar_texts_with_far_fingerprints_go(spark):
     assert _kept(spark, [t for p in pairs for t in p]) == set(range(0, 40, 2))
 
 
+def test_unlike_texts_with_near_fingerprints_stay(spark):
+    pairs = _pairs(2, 3, lambda s, bits: s < 0.8 and bits <= 6, 10)
+    assert _kept(spark, [t for p in pairs for t in p]) == set(range(20))
+
+
+def _families(seed):
+    """Texts of a few families with similarities on both sides of the limit, and chains."""
+    rnd, texts = random.Random(seed), []
+    for _ in range(6):
+        base = _words(rnd, 80)
+        texts += [_edited(rnd, base, rnd.choice([1, 1, 2, 3])) for _ in range(12)]
+        for _ in range(6):
+            texts.append(base)
+            base = _edited(rnd, base, 1)
+    rnd.shuffle(texts)
+    return texts
+
+
+def _brute(texts):
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if _similarity(texts[a], texts[b]) >= 0.8 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return list(enumerate(label))
+
+
+def test_groups_equal_brute_force_in_whole_and_dealt_buckets(spark, monkeypatch):
+    texts = _families(3)
+    docs, expected = _docs(spark, [" ".join(t) for t in texts]), _brute(texts)
+    assert sorted(rows_of(nearcopies.components(docs))) == expected
+    monkeypatch.setattr(nearcopies, "BLOCK", 3)
+    assert sorted(rows_of(nearcopies.components(docs))) == expected
+
+
+def test_a_text_unlike_the_first_of_its_bucket_is_tested_with_the_others(spark):
+    texts = [" ".join(t) for t in _families(4)[:40]]
+    fps = nearcopies.digests([t.encode() for t in texts]).tolist()
+    rows = [(0, fp, fp) for fp in fps]
+    buckets = spark.createDataFrame(rows, "key bigint, fp bigint, a bigint")
+    known = spark.createDataFrame(list(zip(fps, texts)), "fp bigint, text string")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    found = rows_of(nearcopies.further_links(buckets, none, known))
+    label = list(range(len(texts)))
+    for a, b in found:
+        low, high = sorted((label[fps.index(a)], label[fps.index(b)]))
+        label = [low if x == high else x for x in label]
+    assert list(enumerate(label)) == _brute([t.split() for t in texts])
+
+
 def test_awkward_rows(spark):
     groups = nearcopies.components(awkward(spark))
     assert sorted(rows_of(groups), key=str) == sorted(
