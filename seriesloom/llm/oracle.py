@@ -68,7 +68,43 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM owned
 """
 
+OP12 = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), numbered AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units,
+    ('0x' || substr(h, 1, 8))::UBIGINT AS h1, ('0x' || substr(h, 9, 8))::UBIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::UBIGINT AS h3, ('0x' || substr(h, 25, 8))::UBIGINT AS h4
+  FROM base
+), chosen AS (
+  SELECT *, len(units) AS n,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbered
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS lo,
+    greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS hi
+  FROM chosen
+), parts AS (
+  SELECT *, array_to_string(list_slice(units, 1, lo), '') AS prefix,
+    array_to_string(list_slice(units, lo + 1, hi), '') AS middle,
+    array_to_string(list_slice(units, hi + 1, n), '') AS suffix
+  FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2.replace("{stop}", OP2_STOP).replace("{{", "{").replace("}}", "}"),
     "op9_warc": OP9,
+    "op12_fill_in_middle": OP12,
 }
