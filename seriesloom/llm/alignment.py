@@ -142,7 +142,7 @@ def _refined(
     sizes = vocabulary.sizes[ids]
     first = np.concatenate([[0], np.cumsum(counts)])
     upto = np.concatenate([[0], np.cumsum(sizes)])
-    text_starts = np.concatenate([[0], text_ends[:-1]])
+    text_starts = np.concatenate([[0], text_ends])[:-1]
     same_size = upto[first[1:]] - upto[first[:-1]] == text_ends - text_starts
     whole = same_size.copy()
     own = np.repeat(same_size, counts)
@@ -185,7 +185,7 @@ def encode_b(texts: list[str], raw: np.ndarray, text_ends: np.ndarray, path: str
     rows = [(p.id, p.end) for e in found for p in e.pieces]
     counts = np.array([len(e.pieces) for e in found], np.int64)
     table = np.array(rows, np.int64).reshape(-1, 2)
-    starts = np.concatenate([[0], text_ends[:-1]])
+    starts = np.concatenate([[0], text_ends])[:-1]
     coarse = table[:, 1] + 1 + np.repeat(starts, counts)
     unsure = vocabulary.is_byte[table[:, 0]]
     return _refined(vocabulary, table[:, 0], coarse, unsure, counts, raw, text_ends)
@@ -222,7 +222,7 @@ def align(pieces: list[str], path_a: str = VOCABULARY_A, path_b: str = VOCABULAR
     upto = np.concatenate([[0], np.cumsum(a_last)])
     edges = np.concatenate([[0], np.cumsum(n_a)])
     n_groups = upto[edges[1:]] - upto[edges[:-1]]
-    starts = np.concatenate([[0], text_ends[:-1]])
+    starts = np.concatenate([[0], text_ends])[:-1]
     ends = a_ends[a_last] - np.repeat(starts, n_groups)
     return Aligned(whole, n_a, n_b, n_groups, a.ids[keep_a], b.ids[keep_b], a_last, b_last, ends)
 
