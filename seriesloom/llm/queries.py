@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import alignment, bpe, infilling, langid, packing, quality, quality_rules, simhash, suffix, toxicity, vectors, warc
+from seriesloom.llm import (
+    alignment,
+    bpe,
+    infilling,
+    langid,
+    lmscore,
+    packing,
+    quality,
+    quality_rules,
+    simhash,
+    suffix,
+    toxicity,
+    vectors,
+    warc,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -78,3 +92,8 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(table(spark, sf_dir, "documents"))
