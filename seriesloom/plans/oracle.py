@@ -403,11 +403,39 @@ _IMAGE_FILTER = """CASE r.variant WHEN 'norm' THEN contains(s.image_type, 'NORM'
   ELSE contains(s.image_type, r.image_type) END"""
 
 
-def _matches(rule_sql: str, condition: str) -> str:
+_IMAGE_COLUMNS = (["image_type"], ["variant", "image_type"])
+_SERIES_TEXTS = ["protocol_name", "series_description", "sequence_name"]
+
+
+def _distinct_theta(condition: str, of_series: list[str], of_rule: list[str]) -> dict[str, str]:
+    """The theta join over distinct attributes of series (``d``) and of rules (``q``), as ``m``.
+
+    Joined back by equality it gives the rows of the join of all series with all rules.
+    """
+    series = ", ".join([*_SERIES_TEXTS, "TR", "TE", *of_series])
+    rule = ", ".join([*_SERIES_TEXTS, "TR", "TE", *of_rule])
+    d = ", ".join(f"s.{c} AS s_{c}" for c in series.split(", "))
+    q = ", ".join(f"r.{c} AS r_{c}" for c in rule.split(", "))
+    return {
+        "d": f"SELECT {series}, count(*) AS n FROM series GROUP BY ALL",
+        "q": f"SELECT DISTINCT {rule} FROM r",
+        "m": f"SELECT {d}, {q}, s.n FROM q r JOIN d s ON {condition}",
+    }
+
+
+def _same_as(alias: str, columns: list[str]) -> str:
+    return " AND ".join(
+        f"m.{alias}_{c} IS NOT DISTINCT FROM {alias}.{c}"
+        for c in [*_SERIES_TEXTS, "TR", "TE", *columns]
+    )
+
+
+def _matches(rule_sql: str, condition: str, of_series: list[str], of_rule: list[str]) -> str:
     return _with(
         ["mapped", "series"],
-        f"SELECT {_KEY} AS key_name, s.series_id FROM r JOIN series s ON {condition}",
-        {"r": rule_sql},
+        f"""SELECT {_KEY} AS key_name, s.series_id FROM m JOIN r ON {_same_as("r", of_rule)}
+JOIN series s ON {_same_as("s", of_series)}""",
+        {"r": rule_sql, **_distinct_theta(condition, of_series, of_rule)},
     )
 
 
@@ -504,6 +532,9 @@ def sql() -> dict[str, str]:
         ),
         "written_texts": """SELECT concat_ws('-', conv_id, turn) AS series_id,
   '"' || role || '"' || chr(9) || '"tab" and \\' || chr(10) || '"' || text || '"' AS note
+FROM conversations""",
+        "split_table_scan": """SELECT concat_ws('-', conv_id, turn) AS series_id,
+  text || chr(10) || chr(9) || chr(10) || role AS note, '5" ' || role AS protocol_name
 FROM conversations""",
         "ingested_groups": _with(
             ["ingested"],
@@ -740,20 +771,28 @@ FROM numbered GROUP BY study, batch_id""",
   {_CONDITION} AS condition, {_FILTER} AS filter FROM r""",
             {"r": _VARIANT_RULES},
         ),
-        "rule_matches": _matches(_PLAIN_RULES, _THETA),
+        "rule_matches": _matches(_PLAIN_RULES, _THETA, [], []),
         "rule_matches_derived": _matches(
-            _PLAIN_RULES, f"{_THETA} AND COALESCE(s.is_derived, false) = r.is_derived"
+            _PLAIN_RULES,
+            f"{_THETA} AND COALESCE(s.is_derived, false) = r.is_derived",
+            ["is_derived"],
+            ["is_derived"],
         ),
         "rule_matches_motion": _matches(
             _PLAIN_RULES,
             f"{_THETA} AND COALESCE(s.is_motion_corrected, false) = r.is_motion_corrected",
+            ["is_motion_corrected"],
+            ["is_motion_corrected"],
+        ),
+        "rule_matches_context": _matches(
+            _VARIANT_RULES, f"{_THETA} AND {_IMAGE_FILTER}", *_IMAGE_COLUMNS
         ),
-        "rule_matches_context": _matches(_VARIANT_RULES, f"{_THETA} AND {_IMAGE_FILTER}"),
         "rule_match_counts": _with(
             ["mapped", "series"],
-            f"""SELECT {_KEY} AS key_name, r.path AS bids_path, count(s.series_id) AS n_series
-FROM r LEFT JOIN series s ON {_THETA} AND {_IMAGE_FILTER} GROUP BY ALL""",
-            {"r": _VARIANT_RULES},
+            f"""SELECT {_KEY} AS key_name, r.path AS bids_path,
+  CAST(COALESCE(sum(m.n), 0) AS BIGINT) AS n_series
+FROM r LEFT JOIN m ON {_same_as("r", _IMAGE_COLUMNS[1])} GROUP BY ALL""",
+            {"r": _VARIANT_RULES, **_distinct_theta(f"{_THETA} AND {_IMAGE_FILTER}", *_IMAGE_COLUMNS)},
         ),
         "rule_program": _program(),
         "catch_all": _with(

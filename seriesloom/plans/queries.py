@@ -104,6 +104,28 @@ def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, path).select("series_id", "note")
 
 
+@query
+def split_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversation texts as one table of two files, scanned by byte ranges.
+
+    The second cell holds tabs and line breaks in quotes, the third quotes inside of plain text.
+    """
+    path = new_path(spark, "turns")
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = F.concat_ws("-", "conv_id", "turn")
+    tall = F.concat(F.lit("5\" "), F.col("role"))
+    cells = given.select(
+        key.alias("series_id"),
+        F.concat("text", F.lit("\n\t\n"), "role").alias("note"),
+        tall.alias("protocol_name"),
+    )
+    sinks.write_table(cells.repartition(2, "series_id"), path)
+    united = tables.read_session_tables(spark, path, pattern="*.csv")
+    return united.select(
+        "series_id", F.get_json_object("extra", "$[0].value").alias("note"), "protocol_name"
+    )
+
+
 @query
 def ingested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of tables that were read from files: no row id, series ids repeat over subjects."""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions import coerce
 from seriesloom.schema import EMPTY_COLUMNS, SERIES_SCHEMA
+from seriesloom.sources import splits
 
 SESSION_PATTERN = "dicominfo*.tsv"
 AGGREGATED_NAME = "aggregated_dicominfo.tsv"
@@ -21,10 +22,8 @@ _ALIASES = {"subject": "subject_id", "session": "session_id"}
 _KNOWN = [f.name for f in SERIES_SCHEMA.fields] + list(_ALIASES.values())
 # <subject>[/ses-<session>]/info/<table>
 _FROM_PATH = r"([^/]+?)(?:/ses-([^/]+))?/info/[^/]+$"
-# A cell, quoted or plain, and the cells of one record. No part can give back what it has taken,
-# so a match is linear in the text.
+# A cell, quoted or plain. No part can give back what it has taken, so a match is linear.
 _CELL = r'(?:"(?:[^"]++|"")*+"[^\t\n]*+|[^\t\n]*+)'
-_RECORD = rf"{_CELL}(?:\t{_CELL})*+"
 
 
 # --- typing -----------------------------------------------------------------------------------
@@ -65,11 +64,23 @@ def to_series(raw: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """One tab-separated table as ``write_table`` makes it, typed as a series table.
 
-    Quotes inside a value are doubled, and a quoted value may hold tabs and line breaks.
+    Quotes inside a value are doubled, and a quoted value may hold tabs and line breaks. A table is
+    read in as many tasks as its bytes ask for, however few files it has.
     """
+    # Only the header is read here; all files' records are bound to their own file's header.
+    names = spark.read.csv(
+        path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', multiLine=True
+    ).columns
+    bound = splits.with_headers(splits.text_lines(spark.read, path)).select(
+        _cells(F.col("header")).alias("names"), _cells(F.col("line")).alias("cells")
+    )
+    at = {n: F.array_position("names", F.lit(n)).cast("int") for n in names}
     return to_series(
-        spark.read.csv(
-            path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', multiLine=True
+        bound.select(
+            *[
+                F.nullif(F.get("cells", F.when(at[n] > 0, at[n] - 1)), F.lit("")).alias(n)
+                for n in names
+            ]
         )
     )
 
@@ -87,16 +98,6 @@ def _cells(record: Column) -> Column:
     return F.when(record.contains('"'), quoted).otherwise(F.split(record, "\t"))
 
 
-def _records(text: Column) -> Column:
-    """Records of a file's text: line breaks inside a quoted cell do not end one, a carriage return
-    before the line break does not belong to it, and empty lines are none."""
-    broken = F.when(
-        text.contains('"'), F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0))
-    ).otherwise(F.split(text, "\n"))
-    trimmed = F.transform(broken, lambda r: F.regexp_replace(r, r"\r$", ""))
-    return F.filter(trimmed, lambda r: r != "")
-
-
 def _binding(header: Column) -> Column:
     """Where each series column sits in a header, and which other columns there are.
 
@@ -124,8 +125,7 @@ def session_lines(
     """``file_path, binding, pos, line`` of every data record under ``root``.
 
     Headers differ between files, so each record is bound to the header of its own file, the first
-    record. A session's table is one row per series, so a file is read whole (up to 2 GB); all
-    files, whatever their size, are read this one way.
+    record. Large files are read in blocks.
     """
     reader = (
         spark.read.option("recursiveFileLookup", True)
@@ -133,15 +133,8 @@ def session_lines(
         .option("ignoreCorruptFiles", skip_unreadable)
         .option("ignoreMissingFiles", skip_unreadable)
     )
-    return (
-        reader.text(root, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"), _records(F.col("value")).alias("records")
-        )
-        # The header is taken first, so that exploded records do not drag the whole file along.
-        .withColumn("binding", _binding(F.coalesce(F.get("records", F.lit(0)), F.lit(""))))
-        .select("file_path", "binding", F.posexplode("records").alias("pos", "line"))
-        .where("pos > 0")
+    return splits.with_headers(splits.text_lines(reader, root)).select(
+        "file_path", _binding(F.col("header")).alias("binding"), "pos", "line"
     )
 
 
