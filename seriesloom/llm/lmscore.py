@@ -42,7 +42,7 @@ STRETCH = 4 << 20
 WORDS_PER_SHARD = 400_000
 TOKENS_PER_SHARD = 2_000_000
 HOT = 100_000
-MASS = 20.0
+MASS = 80.0
 END = 0  # number of the end; words are numbered from 1
 
 _LOWER = bytes(range(256)).lower()

@@ -4,11 +4,15 @@ A quoted cell may hold line breaks, so whether a line starts a record depends on
 What a line does to that state ("inside a quoted cell or not") is a function of two values, known
 from the line alone: it keeps the state, turns it round, or sets it. Functions compose, so
 
-1. a file's lines are read in blocks by Spark's own splits, whatever the size of the file;
-2. inside a block, a running composition gives the state of each line for both states at its start;
-3. one row per block is composed along the file, which gives the true start state of each block
+1. a file's lines are read in blocks by Spark's own splits, whatever the size of the file, and written
+   once, which fixes the blocks (another scan may split anew when executors have come or gone);
+2. files in which no line opens a cell for the next one are done: a line is a record, and its number
+   follows from the lines of the blocks before;
+3. inside a block of the other files, a running composition gives the state of each line for both
+   states at its start;
+4. one row per block is composed along the file, which gives the true start state of each block
    and the number of records before it;
-4. lines take their block's state; those of records over several lines are put together by file
+5. lines take their block's state; those of records over several lines are put together by file
    and record number, also over blocks.
 
 Only a block's lines and one row per block of a file are ever sorted together. A quote that is never
@@ -20,6 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, DataFrameReader, Window
 from pyspark.sql import functions as F
 
+from seriesloom.staging import stage
+
+# Blocks (or files) up to which a table with one row for each is broadcast: some 40 MB.
+FEW = 200_000
+
 # Parts of a line. No part gives back what it has taken, so matching is linear.
 _INSIDE = r'(?:[^"]++|"")*+'
 _CLOSED = rf'(?:"{_INSIDE}"[^\t]*+|(?!")[^\t]*+)'
@@ -52,29 +61,34 @@ def _composed(df: DataFrame, outside: str, inside: str, window) -> DataFrame:
 
 
 def text_lines(reader: DataFrameReader, root: str) -> DataFrame:
-    """``file_path, block, ord, value`` of every line; a block is one of Spark's splits of a file."""
+    """Every line with its ``file_path, block, ord``, and what it does to the state.
+
+    A block is one of Spark's splits of a file.
+    """
+    value = F.col("value")
+    quoted = value.contains('"')
     return reader.option("lineSep", "\n").text(root).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
-        # Ascends inside a split in the order of its lines.
+        # Ascends by one inside a split in the order of its lines.
         F.monotonically_increasing_id().alias("ord"),
         "value",
+        _as_int(~value.isin("", "\r")).alias("filled"),
+        _as_int(quoted & value.rlike(_FROM_OUTSIDE)).alias("outside"),
+        _as_int(~quoted | value.rlike(_FROM_INSIDE)).alias("inside"),
+        (~quoted | value.rlike(_ALL_INSIDE)).alias("passes"),
     )
 
 
+def scanned(reader: DataFrameReader, root: str) -> DataFrame:
+    """``text_lines`` as a written table."""
+    return stage(text_lines(reader, root), "lines")
+
+
 def _traced(lines: DataFrame) -> DataFrame:
     """Lines with state before and after, and running numbers of starts, for both start states."""
     along = Window.partitionBy("file_path", "block").orderBy("ord")
-    quoted = F.col("value").contains('"')
-    traced = lines.withColumns(
-        {
-            "filled": _as_int(~F.col("value").isin("", "\r")),
-            "outside": _as_int(quoted & F.col("value").rlike(_FROM_OUTSIDE)),
-            "inside": _as_int(~quoted | F.col("value").rlike(_FROM_INSIDE)),
-            "passes": ~quoted | F.col("value").rlike(_ALL_INSIDE),
-        }
-    )
-    traced = _composed(traced, "outside", "inside", along)
+    traced = _composed(lines, "outside", "inside", along)
     traced = traced.withColumn("place", F.sum("filled").over(along))
     for start in (0, 1):
         before = F.lag(f"after{start}", 1, start).over(along)
@@ -127,12 +141,8 @@ def _blocks(traced: DataFrame) -> DataFrame:
     )
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """``file_path, pos, line``: every record of the files and its number there, from 0.
-
-    Line breaks inside a quoted cell stay in the record, a carriage return before the last one does
-    not, and empty lines outside of quotes are no records.
-    """
+def _pieced(lines: DataFrame) -> DataFrame:
+    """Records of files where a line may go on with the record of the one before."""
     traced = _traced(lines)
     placed = traced.join(_blocks(traced.drop("value")), ["file_path", "block"])
     chosen = lambda name: F.when(F.col("state") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
@@ -169,18 +179,74 @@ def records(lines: DataFrame) -> DataFrame:
     return single.unionByName(joined).withColumn("line", F.regexp_replace("line", r"\r\z", ""))
 
 
+def _few(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= FEW else table
+
+
+def _sorted_out(lines: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """One row per block; plain lines with their record's number; lines of the other files."""
+    per_block = lines.groupBy("file_path", "block").agg(
+        F.min("ord").alias("first"),
+        F.count("*").alias("n"),
+        F.max(F.greatest("outside", 1 - F.col("filled"))).alias("special"),
+    )
+    along = Window.partitionBy("file_path").orderBy("block")
+    blocks = stage(
+        per_block.select(
+            "file_path",
+            "block",
+            "first",
+            F.coalesce(
+                F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ).alias("before"),
+            (F.max("special").over(Window.partitionBy("file_path")) == 0).alias("plain"),
+        ),
+        "line-blocks",
+    )
+    n, n_plain = blocks.agg(F.count("*"), F.count_if("plain")).first()
+    plain, others = None, None
+    if n_plain:
+        mine = _few(blocks.where("plain").drop("plain"), n)
+        number = (F.col("before") + F.col("ord") - F.col("first")).alias("pos")
+        plain = lines.join(mine, ["file_path", "block"]).select("file_path", "block", number, "value")
+    if n_plain < n or not n:
+        mine = _few(blocks.where("NOT plain").select("file_path", "block"), n)
+        others = lines.join(mine, ["file_path", "block"], "left_semi")
+    return blocks, plain, others
+
+
+def _united(plain: DataFrame | None, pieced: DataFrame | None) -> DataFrame:
+    line = F.regexp_replace("value", r"\r\z", "").alias("line")
+    parts = [] if plain is None else [plain.select("file_path", "pos", line)]
+    parts += [] if pieced is None else [pieced]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """``file_path, pos, line``: every record of the files and its number there, from 0.
+
+    Line breaks inside a quoted cell stay in the record, a carriage return before the last one does
+    not, and empty lines outside of quotes are no records. ``lines`` is a ``scanned`` table.
+    """
+    _, plain, others = _sorted_out(lines)
+    return _united(plain, None if others is None else _pieced(others))
+
+
 def with_headers(lines: DataFrame) -> DataFrame:
     """``file_path, header, pos, line``: records after the first, each with the first of its file.
 
     The header is looked for in a file's first block alone; a file with records whose header does not
-    end there is an error.
+    end there is an error. ``lines`` is a ``scanned`` table.
     """
-    firsts = (
-        records(lines.where("block = 0"))
-        .where("pos = 0")
-        .select("file_path", F.col("line").alias("header"))
+    blocks, plain, others = _sorted_out(lines)
+    every = _united(plain, None if others is None else _pieced(others))
+    n_files = blocks.where("block = 0").count()
+    firsts = _united(
+        None if plain is None else plain.where("block = 0"),
+        None if others is None else _pieced(others.where("block = 0")),
     )
-    bound = records(lines).join(firsts, "file_path", "left")
+    firsts = firsts.where("pos = 0").select("file_path", F.col("line").alias("header"))
+    bound = every.join(_few(firsts, n_files), "file_path", "left")
     wrong = F.raise_error(F.concat(F.lit("the header does not end in the first block of "), "file_path"))
     # The first record of the whole file must be the one that the first block alone gives.
     after_header = (

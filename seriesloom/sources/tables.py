@@ -71,7 +71,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     names = spark.read.csv(
         path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', multiLine=True
     ).columns
-    bound = splits.with_headers(splits.text_lines(spark.read, path)).select(
+    bound = splits.with_headers(splits.scanned(spark.read, path)).select(
         _cells(F.col("header")).alias("names"), _cells(F.col("line")).alias("cells")
     )
     at = {n: F.array_position("names", F.lit(n)).cast("int") for n in names}
@@ -133,7 +133,7 @@ def session_lines(
         .option("ignoreCorruptFiles", skip_unreadable)
         .option("ignoreMissingFiles", skip_unreadable)
     )
-    return splits.with_headers(splits.text_lines(reader, root)).select(
+    return splits.with_headers(splits.scanned(reader, root)).select(
         "file_path", _binding(F.col("header")).alias("binding"), "pos", "line"
     )
 
