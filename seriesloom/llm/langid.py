@@ -33,7 +33,6 @@ SAMPLE_DOCS = 150
 SAMPLE_CHARS = 20_000
 UNKNOWN = "und"
 LETTER = r"\p{L}"
-LEAST_SCORE = 0.4
 
 
 class _Table:
@@ -195,8 +194,8 @@ def _decide(trees: ContextTrees, batch: pa.RecordBatch) -> tuple[np.ndarray, np.
 
 
 def keep_known(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """The documents with a predicted language and a score of ``LEAST_SCORE`` or more (about even
-    scores mean that no language fits better than another), all columns as they are."""
+    """The documents with a predicted language (those without a letter have none), all columns as they
+    are. Whether a document stays does not depend on how many languages were learned."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     schema = docs.schema
 
@@ -206,8 +205,7 @@ def keep_known(docs: DataFrame, trees: ContextTrees) -> DataFrame:
                 [batch.column(batch.schema.names.index("text")), batch.column(batch.num_columns - 1)],
                 ["text", "has_letter"],
             )
-            lang, score = _decide(shared.value, own)
-            keep = (lang != UNKNOWN) & ((score >= LEAST_SCORE) | (len(shared.value.languages) < 3))
+            keep = _decide(shared.value, own)[0] != UNKNOWN
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=schema.names)
             yield rest.filter(pa.array(keep.astype(bool)))
 

@@ -20,9 +20,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -115,7 +117,12 @@ def hits(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, floa
             if kind == "stem" or closed:
                 (spared if kind == "not" else found).append((start, end, weight))
     if spared and found:
-        found = [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _ in spared)]
+        spared.sort()
+        starts = [s for s, _, _ in spared]
+        # The furthest end of the phrases that begin up to each one.
+        reach = list(accumulate((e for _, e, _ in spared), max))
+        at = (bisect_right(starts, h[0]) for h in found)
+        found = [h for h, i in zip(found, at) if not i or reach[i - 1] < h[1]]
     best: dict[int, tuple[int, int, float]] = {}
     for hit in found:  # one entry per place, the heaviest
         if hit[0] not in best or hit[2] > best[hit[0]][2]:

@@ -40,7 +40,7 @@ from seriesloom.llm.components import component_labels
 from seriesloom.staging import stage
 
 THRESHOLD = 0.98
-PROBE_REACH = 0.6
+PROBE_REACH = 1.0
 LEAST_LISTS, MOST_LISTS = 8, 4096
 SUBSPACES = 8
 CODES = 64

@@ -208,9 +208,26 @@ def test_vector_links_equal_brute_force(spark):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
     want = _vector_truth(rows)
     got = sorted(rows_of(vectors.near_duplicates(table)))
-    exact = sorted(rows_of(vectors.near_duplicates(table, probe_reach=1.0)))
-    assert exact == want
-    assert sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want)
+    assert got == want
+
+
+def test_links_across_list_borders_count_at_both_ends(spark):
+    """Vectors along an arc of one label, which every border between lists cuts."""
+    n, size = 900, 64
+    rnd = np.random.default_rng(8)
+    one, other = np.linalg.qr(rnd.normal(size=(size, 2)))[0].T
+    angles = np.linspace(0, np.pi, n)
+    arc = np.outer(np.cos(angles), one) + np.outer(np.sin(angles), other)
+    arc = arc.astype(np.float32)
+    table = spark.createDataFrame(
+        [(i, a.tolist(), 1) for i, a in enumerate(arc)], "vec_id bigint, embedding array<float>, label int"
+    )
+    exact = arc.astype(np.float64)
+    unit = exact / np.linalg.norm(exact, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(table).collect()}
+    assert [got[i]["n_links"] for i in range(n)] == want.tolist()
+    assert {r["component_id"] for r in got.values()} == {0}
 
 
 def test_vectors_awkward(spark):

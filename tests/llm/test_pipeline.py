@@ -20,7 +20,7 @@ def _text(seed, n=120):
 
 def test_stages_are_five_and_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_copies", "passages", "packing"]
-    assert {k.split("_")[0] for k in queries.REGISTRY} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.REGISTRY} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_planted_documents(spark, tmp_path):
@@ -57,3 +57,21 @@ def test_run_over_the_smallest_tables(spark):
     result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = result.collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(result.columns)
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    """Ids that repeat with other texts, equal rows and null ids, through each stage and all."""
+    u, v, w, x = (_text(700 + i) for i in range(4))
+    given = [(3, w), (5, v), (5, w), (7, u), (7, u), (None, x), (None, x), (None, v)]
+    rows = [(i, t, "en", None, len(t)) for i, t in given]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted([(3, w), (5, v), (7, u), (None, x)], key=str)
+    shown = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    near = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, str(tmp_path))
+    assert near.columns == docs.columns and shown(near) == want
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        docs = function(spark, docs, str(tmp_path)).cache()
+    assert shown(docs) == want
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+    assert {r[0] for r in rows_of(packed.select("doc_id"))} == {3, 5, 7, None}

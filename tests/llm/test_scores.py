@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,46 @@ def test_toxicity_awkward(docs, none, spark):
     assert toxicity.toxicity_scores(none, labels).count() == 0
     kept = toxicity.keep_clean(docs, toxicity.Lexicon({"fox": 9.0}))
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+
+
+def _plain_measure(text, lexicon):
+    """Every place of every entry, every exception compared with every hit."""
+    folded = toxicity.fold(text)
+
+    def places(entry, whole):
+        for start in range(len(folded) - len(entry) + 1):
+            end = start + len(entry)
+            if not folded.startswith(entry, start) or (start and folded[start - 1].isalnum()):
+                continue
+            if whole and end < len(folded) and folded[end].isalnum():
+                continue
+            yield start, end
+
+    spared = [p for phrase in lexicon.exceptions for p in places(phrase, True)]
+    best = {}
+    for known, whole in ((lexicon.words, True), (lexicon.stems, False)):
+        for entry, weight in known.items():
+            for start, end in places(entry, whole):
+                if not any(s <= start and end <= e for s, e in spared):
+                    best[start] = max(best.get(start, 0.0), weight)
+    total = sum(best.values())
+    return (total, total / (1 + len(folded.split()))) if total else (0.0, 0.0)
+
+
+def test_lexicon_sums_equal_plain_matching():
+    rnd = random.Random(9)
+    lexicon = toxicity.Lexicon(
+        {"trash": 1.0, "stupid": 2.0, "can": 0.5}, {"stup": 0.75, "idi": 1.5}, ("trash can", "can of", "stupid idea")
+    )
+    machine = lexicon.automaton()
+    parts = ["trash", "can", "of", "stupid", "idea", "idiot", "7rash", "stupidity", ".", "x"]
+    for _ in range(200):
+        text = rnd.choice([" ", "", "  "]).join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))
+        assert toxicity.measures(text, machine) == pytest.approx(_plain_measure(text, lexicon))
+
+
+def test_long_texts_with_many_exceptions_take_linear_time():
+    machine = toxicity.Lexicon({"stupid": 1.0, "trash": 1.0}, {}, ("trash can",)).automaton()
+    started = time.perf_counter()
+    total, _ = toxicity.measures("trash can stupid " * 200_000, machine)
+    assert total == 200_000 and time.perf_counter() - started < 30
