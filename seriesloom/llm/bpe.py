@@ -9,7 +9,9 @@ ids joined with the vocabulary, its decoded bytes. A document is the sequence of
 The merge table holds every split of every token into two tokens, since a pair's rank is that of
 the bytes it makes. A piece that is a token itself is that token. The vocabulary has a fixed size; a
 task holds ``CHUNK_BYTES`` of text (or one longer text) and recurses over ``PIECES`` pieces at a time,
-so memory does not grow with the partition.
+so memory does not grow with the partition. A worker process keeps the ids of up to ``KEPT_PIECES`` pieces
+that it has encoded (of at most ``KEPT_BYTES`` bytes each) and recurses over the others alone; what it
+keeps changes no result.
 
 Defined results: a null or empty text has no ids; both hashes are those of the empty string.
 Repeated rows each get their row; other columns are not read. One very long piece takes as many
@@ -34,7 +36,9 @@ from seriesloom.llm.common import whole_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK_BYTES = 16 << 20
-PIECES = 30_000
+PIECES = 50_000
+KEPT_PIECES = 200_000
+KEPT_BYTES = 32
 
 # k is the rank of the pair that starts at a row, with the position in its low bits, so the
 # smallest k of a piece is its leftmost pair of smallest rank. A piece without a pair is written
@@ -100,6 +104,12 @@ def _database(path: str) -> tuple[duckdb.DuckDBPyConnection, dict[bytes, int], n
     return connection, ranks, np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str) -> dict[bytes, bytes]:
+    """Ids, as 32-bit integers, of pieces that this process has encoded."""
+    return {}
+
+
 def _flat(column: pa.ChunkedArray | pa.Array, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and values, end to end, of a column of lists or of bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -116,11 +126,15 @@ def encode_pieces(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For distinct pieces: ids per piece, all ids, decoded bytes per piece, all decoded bytes."""
     connection, ranks, of_byte = _database(path)
+    kept = _kept(path)
     n_ids, ids, n_bytes, decoded = [], [], [], []
     for lo in range(0, len(pieces), PIECES):
         group = pieces[lo : lo + PIECES]
-        known = np.array([ranks.get(p, -1) for p in group], np.int64)
-        long = np.flatnonzero(known < 0)
+        known = [
+            b"" if r is None else r.to_bytes(4, "little") for r in map(ranks.get, group)
+        ]
+        known = [k or kept.get(p, b"") for k, p in zip(known, group)]
+        long = np.array([i for i, k in enumerate(known) if not k], np.int64)
         sizes = np.array([len(group[i]) for i in long], np.int64)
         data = np.frombuffer(b"".join(group[i] for i in long), np.uint8)
         place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -131,12 +145,13 @@ def encode_pieces(
                 "token": pa.array(of_byte[data]),
             }
         )
-        whole = np.flatnonzero(known >= 0)
+        n_known = np.array([len(k) // 4 for k in known], np.int64)
+        given = np.arange(n_known.sum()) - np.repeat(np.cumsum(n_known) - n_known, n_known)
         single = pa.table(
             {
-                "piece": pa.array(whole.astype(np.int32)),
-                "pos": pa.array(np.zeros(len(whole), np.int32)),
-                "token": pa.array(known[whole].astype(np.int32)),
+                "piece": pa.array(np.repeat(np.arange(len(group)), n_known).astype(np.int32)),
+                "pos": pa.array(given.astype(np.int32)),
+                "token": pa.array(np.frombuffer(b"".join(known), np.int32)),
             }
         )
         connection.register("bytes", rows)
@@ -147,6 +162,10 @@ def encode_pieces(
         lengths, values = _flat(connection.sql(IDS).to_arrow_table()["ids"], pa.list_(pa.int32()))
         n_ids.append(lengths)
         ids.append(values)
+        ends, raw = np.cumsum(lengths) * 4, values.astype("<i4").tobytes()
+        for i in long[: max(0, KEPT_PIECES - len(kept))].tolist():
+            if len(group[i]) <= KEPT_BYTES:
+                kept[group[i]] = raw[ends[i] - 4 * lengths[i] : ends[i]]
         lengths, values = _flat(connection.sql(DECODE).to_arrow_table()["bytes"], pa.binary())
         n_bytes.append(lengths)
         decoded.append(values)

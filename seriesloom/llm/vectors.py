@@ -7,12 +7,12 @@ could belong to a link are compared exactly, as cosines in double precision.
 
 Which links are found: (1) A vector within distance ``d`` of a query can be in the list of centre
 ``c`` only if the query is no further than ``d`` from the plane between ``c`` and its own centre ``o``,
-``(|q-c|^2 - |q-o|^2) / (2 |c-o|) <= d``. All such lists are probed for ``probe_reach=1``; by
-default those within ``PROBE_REACH * d``, since the difference of two near vectors seldom points
-straight across a plane (recall against brute force is tested). (2) The error of each code is
+``(|q-c|^2 - |q-o|^2) / (2 |c-o|) <= d``. All such lists are probed, so
+both ends of a link find it; a ``probe_reach`` below 1 probes those within this share of ``d``, which is
+cheaper and may count a link at one end only. (2) The error of each code is
 stored as a norm, so a table distance is off by no more than it; the filter keeps every row within
-``d`` plus its error. (3) The rerank decides alone, in double precision. Found links count for
-both ends.
+``d`` plus its error. (3) The rerank decides alone, in double precision. Each vector
+counts the links it finds itself.
 
 Scale: equal vectors of a label are one row with a count, so copies cost nothing. A list is
 split into blocks of about ``BLOCK`` vectors and its queries into parts; each pair of block and part
