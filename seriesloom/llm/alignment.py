@@ -8,8 +8,10 @@ bytes. Places where both sides end cut the tokens into groups; tokens that end t
 
 Both vocabularies put a space only at the head of a token, so a text may be cut before each
 single space between other characters and its pieces encoded apart (``_checked`` tests the B
-vocabulary for this). A block of documents therefore encodes each of its different pieces once.
-A block is up to ``BLOCK_BYTES`` of text, or one longer text; what it holds bounds a task's memory.
+vocabulary for this). A block of documents therefore encodes each of its different pieces once,
+``AT_ONCE`` at a time, and a worker process keeps the tokens of up to ``KEPT_PIECES`` short pieces for its
+later blocks (what it keeps changes no result). A block is up to ``BLOCK_BYTES`` of text, or one longer
+text; what it holds bounds a task's memory.
 
 Pair counts: a block lists its different pairs with counts; these are summed over blocks, compared
 with the highest count of their B token (at most one row per B token, so that table is broadcast)
@@ -43,6 +45,9 @@ from seriesloom.staging import stage
 VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 BLOCK_BYTES = 16 << 20
+AT_ONCE = 16_000
+KEPT_PIECES = 200_000
+KEPT_CHARS = 24
 # Before a single space between characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
@@ -234,14 +239,14 @@ def group_texts(found: Aligned) -> list[bytes]:
     total = int(found.n_groups.sum())
     a_upto = np.cumsum(np.bincount(group_a, minlength=total))
     b_upto = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=total))])
-    ids = np.empty(len(found.a) + len(found.b), np.int64)
+    ids = np.empty(len(found.a) + len(found.b), np.int32)
     marks = np.empty(len(ids), np.uint8)
     place = np.arange(len(found.a)) + b_upto[group_a]
     ids[place], marks[place] = found.a, np.where(found.a_last, ord("|"), ord(","))
     place = np.arange(len(found.b)) + a_upto[group_b]
     ids[place], marks[place] = found.b, np.where(found.b_last, ord(";"), ord(","))
     width = 7
-    powers = 10 ** np.arange(width - 1, -1, -1)
+    powers = (10 ** np.arange(width - 1, -1, -1)).astype(np.int32)
     shown = np.empty((len(ids), width + 1), np.uint8)
     shown[:, :width] = ids[:, None] // powers % 10 + ord("0")
     shown[:, width] = marks
@@ -253,12 +258,63 @@ def group_texts(found: Aligned) -> list[bytes]:
     return [text[lo : max(lo, hi - 1)] for lo, hi in zip(edges[:-1], edges[1:])]
 
 
-def _pieces(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+@lru_cache(maxsize=1)
+def _kept(path_a: str, path_b: str) -> dict[str, bytes]:
+    """Tokens of pieces that this process has aligned, as ``_bodies`` gives them."""
+    return {}
+
+
+def _bodies(found: Aligned) -> list[bytes]:
+    """Each piece as 32-bit integers: twice the number of A tokens, plus one if it is whole; A tokens,
+    then B tokens, each doubled, plus one if it ends its group."""
+    sizes = 1 + found.n_a + found.n_b
+    starts = np.cumsum(sizes) - sizes
+    flat = np.empty(sizes.sum(), "<i4")
+    flat[starts] = found.n_a * 2 + found.whole
+    flat[_ranges(starts + 1, found.n_a)] = found.a * 2 + found.a_last
+    flat[_ranges(starts + 1 + found.n_a, found.n_b)] = found.b * 2 + found.b_last
+    raw = flat.tobytes()
+    return [raw[4 * lo : 4 * (lo + n)] for lo, n in zip(starts.tolist(), sizes.tolist())]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def align_all(pieces: list[str], path_a: str, path_b: str) -> Aligned:
+    """``align`` in bounded steps, without the ends, through what the process has kept."""
+    kept = _kept(path_a, path_b)
+    bodies = [kept.get(p) for p in pieces]
+    new = [i for i, body in enumerate(bodies) if body is None]
+    for at in range(0, len(new), AT_ONCE):
+        step = new[at : at + AT_ONCE]
+        for i, body in zip(step, _bodies(align([pieces[i] for i in step], path_a, path_b))):
+            bodies[i] = body
+            if len(kept) < KEPT_PIECES and len(pieces[i]) <= KEPT_CHARS:
+                kept[pieces[i]] = body
+    sizes = np.array([len(b) for b in bodies], np.int64) // 4
+    flat = np.frombuffer(b"".join(bodies), "<i4").astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    head = flat[starts]
+    n_a = head >> 1
+    n_b = sizes - 1 - n_a
+    a, b = flat[_ranges(starts + 1, n_a)], flat[_ranges(starts + 1 + n_a, n_b)]
+    a_last, b_last = (a & 1).astype(bool), (b & 1).astype(bool)
+    n_groups = _sums(a_last, n_a)
+    return Aligned((head & 1).astype(bool), n_a, n_b, n_groups, a >> 1, b >> 1, a_last, b_last, head[:0])
+
+
+def _pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Pieces per text, the number of each piece in order, and the different pieces."""
-    cut = [_CUT.split(t) if t else [] for t in texts]
-    counts = np.array([len(c) for c in cut], np.int64)
-    coded = pa.array([p for c in cut for p in c], pa.large_string()).dictionary_encode()
-    return counts, np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    known: dict[str, int] = {}
+    codes = []
+    for text in texts:
+        cut = _CUT.split(text.as_py()) if text.is_valid and text.as_py() else []
+        codes.append(np.fromiter((known.setdefault(p, len(known)) for p in cut), np.int64, len(cut)))
+    counts = np.array([len(c) for c in codes], np.int64)
+    return counts, np.concatenate([np.zeros(0, np.int64), *codes]), list(known)
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -308,8 +364,8 @@ _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 def _block(batch: pa.RecordBatch, number: int, path_a: str, path_b: str) -> pa.RecordBatch:
     """One row per document and, last, one of the block: its pairs, and those of each piece."""
-    counts, codes, different = _pieces(batch.column("text").to_pylist())
-    found = align(different, path_a, path_b)
+    counts, codes, different = _pieces(batch.column("text"))
+    found = align_all(different, path_a, path_b)
     whole = _sums(~found.whole[codes], counts) == 0
     shown = group_texts(found)
     kept = codes[np.repeat(whole, counts)]
