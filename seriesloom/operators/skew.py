@@ -1,4 +1,8 @@
-"""Equi-join of a huge table with a derived one when a few keys dominate the huge side."""
+"""Equi-joins when a few keys dominate one side, or both.
+
+Adaptive execution splits a partition of one side at a time and only by what single map tasks wrote; a key
+that is heavy on both sides stays one product. Here such a key is a grid of cells of bounded size.
+"""
 
 from __future__ import annotations
 
@@ -67,3 +71,52 @@ def spread_join(
     return left.join(right, condition).select(
         *big.columns, *[F.col(f"_small_{c}").alias(c) for c in small.columns if c not in keys]
     )
+
+
+def degrees(df: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """Keys with over ``cell`` rows and at least 1/1000 of all, with a number of slices for each.
+
+    No more than 1000 keys, whatever the data.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    heavy = (F.col("_n") > cell) & (F.col("_n") * HOT_SHARE >= df.count())
+    return counts.where(heavy).select(*keys, F.ceil(F.col("_n") / cell).cast("int").alias("slices"))
+
+
+def grid_sides(
+    left: DataFrame, right: DataFrame, keys: list[str], cell: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the cell of each row, and the columns to join them on."""
+    heavy = {}
+    for side, df in (("_l", left), ("_r", right)):
+        heavy[side] = degrees(df, keys, cell).withColumnRenamed("slices", side)
+    grid = heavy["_l"].join(heavy["_r"], keys, "full").select(
+        *[F.col(k).alias(f"_grid_{k}") for k in keys],
+        F.coalesce("_l", F.lit(1)).alias("_l"),
+        F.coalesce("_r", F.lit(1)).alias("_r"),
+    )
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        placed = df.join(F.broadcast(grid), _same(keys, "_grid_"), "left").select(
+            *df.columns, *[F.coalesce(c, F.lit(1)).alias(c) for c in ("_l", "_r")]
+        )
+        slice_of_row = F.pmod(F.xxhash64(*df.columns), F.col(own).cast("bigint")).cast("int")
+        return placed.select(
+            *df.columns,
+            slice_of_row.alias(f"_at{own}"),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_at{other}"),
+        )
+
+    return dealt(left, "_l", "_r"), dealt(right, "_r", "_l"), [*keys, "_at_l", "_at_r"]
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], cell: int = HOT_ROWS) -> DataFrame:
+    """Inner join on ``keys``; a heavy key's rows are dealt to a grid of cells.
+
+    A key with ``l`` slices on the left and ``r`` on the right has ``l * r`` cells. A left row goes to its
+    slice in each of the ``r`` columns, a right row to its slice in each of the ``l`` rows, so every pair
+    meets in one cell, and a cell has about ``cell`` rows of each side. Other keys have one cell.
+    The result is that of a plain join. Both sides are read three times: pass staged tables.
+    """
+    one, other, cells = grid_sides(left, right, keys, cell)
+    return one.join(other, cells).drop("_at_l", "_at_r")

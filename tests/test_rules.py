@@ -118,8 +118,8 @@ def test_matches_equal_brute_force(spark, mapped, series, context):
     tuples = rules.attribute_tuples(series, context).cache()
     expected = brute_force(built.collect(), series.collect(), context)
     assert expected
-    # hot_rows=1 sends every tuple with a thousandth of the rows through slices.
-    for hot_rows in (1, 10**9):
+    # hot_rows=8 sends every tuple with more rows through slices, and keys of the joins through grids.
+    for hot_rows in (8, 10**9) if context == VARIANTS else (10**9,):
         found = rules.apply_rules(built, series, tuples, context, hot_rows).collect()
         pairs = [tuple(r) for r in found]
         assert len(pairs) == len(set(pairs)) and set(pairs) == expected
@@ -266,3 +266,36 @@ def test_large_times_are_matched(spark):
         if abs(a - b) < rules.TR_TOLERANCE
     }
     assert found == want
+
+
+def test_grid_cells_are_bounded(spark):
+    """One key with half of the rows on both sides, one on the left alone."""
+    left = spark.range(4_000).selectExpr("CASE WHEN id < 2000 THEN 'a' WHEN id < 3000 THEN 'b' ELSE CAST(id AS STRING) END AS k", "id")
+    right = spark.range(600).selectExpr("CASE WHEN id < 300 THEN 'a' WHEN id = 300 THEN 'b' ELSE CAST(id + 2700 AS STRING) END AS k", "id AS j")
+    one, other, cells = skew.grid_sides(left, right, ["k"], 50)
+    assert one.groupBy(cells).count().agg(F.max("count")).first()[0] <= 100
+    assert other.groupBy(cells).count().agg(F.max("count")).first()[0] <= 100
+    pairs = skew.grid_join(left, right, ["k"], 50)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
+def test_one_protocol_on_half_of_the_tuples(spark):
+    """Grids at every join; equal to comparing every rule with every series."""
+    words = ["t1", "mprage", "rest", "bold", "x"]
+    rows = [
+        ("one", f"s{i}", "T1_MPRAGE_long" if i % 2 else f"{words[i % 5]}_{i % 7}", words[i % 3], None,
+         float(i % 40), float(i % 9), None, None, None)
+        for i in range(240)
+    ]
+    series = spark.createDataFrame(rows, SERIES)
+    given = [
+        ("one", i + 1, f"p{i}", ["mprage", "t1", "", "bold_3"][i % 4], ["t1", ""][i % 2], "", [0.0, 20.0][i % 2],
+         [0.0, 4.0, 0.0][i % 3], None, None, None, 1)
+        for i in range(24)
+    ]
+    built = rules.build_rules(spark.createDataFrame(given, MAPPED)).cache()
+    tuples = rules.attribute_tuples(series).cache()
+    found = rules.apply_rules(built, series, tuples, None, 12)
+    assert {tuple(r) for r in found.collect()} == brute_force(built.collect(), series.collect(), None)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
