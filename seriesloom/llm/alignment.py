@@ -44,9 +44,9 @@ from seriesloom.staging import stage
 
 VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
-BLOCK_BYTES = 16 << 20
-AT_ONCE = 16_000
-KEPT_PIECES = 200_000
+BLOCK_BYTES = 8 << 20
+AT_ONCE = 4_000
+KEPT_PIECES = 60_000
 KEPT_CHARS = 24
 # Before a single space between characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
