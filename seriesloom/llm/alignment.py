@@ -46,7 +46,7 @@ VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 BLOCK_BYTES = 8 << 20
 AT_ONCE = 4_000
-KEPT_PIECES = 60_000
+KEPT_PIECES = 250_000
 KEPT_CHARS = 24
 # Before a single space between characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
