@@ -619,6 +619,7 @@ FROM coerced""",
         "numbered_groups": _with(
             ["numbered"], "SELECT study, group_no, group_id, series_count FROM numbered"
         ),
+        "refreshed_groups": _with(["groups"], "SELECT * FROM groups"),
         "group_totals": _with(
             ["groups"],
             """SELECT study, count(*) AS n_groups, CAST(sum(series_count) AS BIGINT) AS n_series
@@ -795,6 +796,16 @@ FROM r LEFT JOIN m ON {_same_as("r", _IMAGE_COLUMNS[1])} GROUP BY ALL""",
             {"r": _VARIANT_RULES, **_distinct_theta(f"{_THETA} AND {_IMAGE_FILTER}", *_IMAGE_COLUMNS)},
         ),
         "rule_program": _program(),
+        "program_matches": _matches(
+            _VARIANT_RULES, f"{_THETA} AND {_IMAGE_FILTER}", *_IMAGE_COLUMNS
+        ),
+        "program_verdicts": _with(
+            ["many_studies"],
+            """SELECT study, NOT regexp_matches(study, 'Brand#[35]') AS accepted,
+  CASE WHEN contains(study, 'Brand#3') THEN 'syntax'
+    WHEN contains(study, 'Brand#5') THEN 'test without append' END AS problem,
+  count(*) AS n_rules FROM many_studies GROUP BY study""",
+        ),
         "catch_all": _with(
             ["series"],
             "SELECT 'study' AS study, 'run{item:03d}' AS key_name, series_id FROM series",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators import catalog as cat
-from seriesloom.operators import classify, grouping, inference, profile, rules
+from seriesloom.operators import classify, grouping, incremental, inference, profile, programs, rules
 from seriesloom.plans import views
 from seriesloom.schema import SERIES_SCHEMA
 from seriesloom.sources import listing, sinks, tables
@@ -275,6 +275,39 @@ def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.top_groups(stage(_groups(spark, sf_dir), "groups"))
 
 
+@query
+def refreshed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all series from a store that was built a week before and then brought up to date.
+
+    A directory is a day. Since then days were added, one gained files, and one is gone.
+    """
+    series = views.series(spark, sf_dir).withColumn("directory", F.col("session"))
+    path, store = new_path(spark, "days"), new_path(spark, "group-store")
+    cut = series.agg(F.date_sub(F.max(F.to_date("session")), 7).cast("string").alias("day")).scalar()
+    earlier = (F.col("session") < cut) | ((F.col("session") == cut) & (F.col("series_id") % 2 == 0))
+    gone = series.where(F.col("protocol_name") == "localizer").withColumns(
+        {"directory": F.lit("gone"), "row_ord": -F.col("row_ord")}
+    )
+    trees = {"before": series.where(earlier).unionByName(gone), "after": series}
+    for name, tree in trees.items():
+        tree.repartition("directory").write.partitionBy("directory").parquet(f"{path}/{name}")
+        table = spark.read.option("basePath", f"{path}/{name}").schema(
+            tree.schema
+        ).parquet(f"{path}/{name}")
+        files = table.select(
+            F.concat_ws("/", "directory", F.concat("series_id", F.lit(".dcm"))).alias("path"),
+            F.col("series_files").alias("length"),
+            F.col("session").alias("modificationTime"),
+        )
+        groups = incremental.refresh_groups(
+            spark,
+            store,
+            stage(listing.fingerprints(files), "listed"),
+            lambda changed, table=table: table.join(changed, "directory", "left_semi"),
+        )
+    return groups
+
+
 # --- classification and names -------------------------------------------------------------------
 
 
@@ -541,6 +574,36 @@ def rule_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.program_lines(built, rules.study_summary(mapped), VARIANT_CONTEXT)
 
 
+def _program_rows(lines: DataFrame) -> DataFrame:
+    block = F.concat_ws("/", "section", "group_no", "variant_no")
+    return lines.withColumn("block", block)
+
+
+@query
+def program_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule program written, read back and applied: the matches of the rules it came from."""
+    read, _ = programs.read_programs(_program_rows(rule_program(spark, sf_dir)))
+    return programs.apply_programs(
+        stage(read, "read"), stage(views.series(spark, sf_dir), "series")
+    ).select("key_name", "series_id")
+
+
+@query
+def program_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs of many studies; some are damaged: other operators, tests without what follows."""
+    groups = stage(grouping.group_series(_studies(spark, sf_dir)), "groups")
+    numbered = stage(grouping.number_groups(groups), "numbered")
+    mapped = inference.map_by_keywords(numbered, cat.seed_catalog(spark))
+    lines = rules.program_lines(rules.build_rules(mapped), rules.study_summary(mapped))
+    damaged = lines.withColumn(
+        "line",
+        F.when(F.col("study").contains("Brand#3"), F.replace("line", F.lit(" and "), F.lit(" or ")))
+        .when(F.col("study").contains("Brand#5"), F.replace("line", F.lit("info["), F.lit("# info[")))
+        .otherwise(F.col("line")),
+    )
+    return programs.read_programs(_program_rows(damaged))[1]
+
+
 @query
 def catch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.catch_all(views.series(spark, sf_dir))
