@@ -796,6 +796,18 @@ FROM r LEFT JOIN m ON {_same_as("r", _IMAGE_COLUMNS[1])} GROUP BY ALL""",
             {"r": _VARIANT_RULES, **_distinct_theta(f"{_THETA} AND {_IMAGE_FILTER}", *_IMAGE_COLUMNS)},
         ),
         "rule_program": _program(),
+        "rule_posting_lists": _with(
+            ["mapped", "series"],
+            f"""SELECT key_name, row_number() OVER (PARTITION BY key_name ORDER BY row_ord) AS position,
+  CAST(series_id AS VARCHAR) AS series_id FROM found
+UNION ALL SELECT {_KEY}, 0, '' FROM r WHERE {_KEY} NOT IN (SELECT key_name FROM found)""",
+            {
+                "r": _VARIANT_RULES,
+                **_distinct_theta(f"{_THETA} AND {_IMAGE_FILTER}", *_IMAGE_COLUMNS),
+                "found": f"""SELECT {_KEY} AS key_name, s.series_id, s.row_ord
+FROM m JOIN r ON {_same_as("r", _IMAGE_COLUMNS[1])} JOIN series s ON {_same_as("s", _IMAGE_COLUMNS[0])}""",
+            },
+        ),
         "program_matches": _matches(
             _VARIANT_RULES, f"{_THETA} AND {_IMAGE_FILTER}", *_IMAGE_COLUMNS
         ),

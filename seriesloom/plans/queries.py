@@ -8,7 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators import catalog as cat
-from seriesloom.operators import classify, grouping, incremental, inference, profile, programs, rules
+from seriesloom.operators import (
+    classify,
+    grouping,
+    incremental,
+    inference,
+    postings,
+    profile,
+    programs,
+    rules,
+)
 from seriesloom.plans import views
 from seriesloom.schema import SERIES_SCHEMA
 from seriesloom.sources import listing, sinks, tables
@@ -574,6 +583,27 @@ def rule_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.program_lines(built, rules.study_summary(mapped), VARIANT_CONTEXT)
 
 
+@query
+def rule_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of each key in input order, by way of chunks of at most 100.
+
+    A key without series has one row of position 0.
+    """
+    table = _rules(spark, sf_dir, VARIANT_CONTEXT)
+    matches = rules.apply_rules(
+        table,
+        views.series(spark, sf_dir),
+        _tuples(spark, sf_dir, VARIANT_CONTEXT),
+        VARIANT_CONTEXT,
+    )
+    lists = postings.posting_lists(matches, table, chunk=100)
+    return postings.listed_matches(lists, chunk=100).select(
+        "key_name",
+        F.coalesce("position", F.lit(0)).alias("position"),
+        F.coalesce(F.col("series_id").cast("string"), F.lit("")).alias("series_id"),
+    )
+
+
 def _program_rows(lines: DataFrame) -> DataFrame:
     block = F.concat_ws("/", "section", "group_no", "variant_no")
     return lines.withColumn("block", block)
