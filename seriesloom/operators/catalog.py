@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions import naming
+from seriesloom.operators.containment import contained
 
 # Datatypes of magnetic resonance imaging, in fallback order.
 MRI_DATATYPES = ["anat", "func", "fmap", "dwi", "perf"]
@@ -215,17 +216,13 @@ def _names(text: Column, of_mapping: str) -> Column:
     )
 
 
-def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROWS) -> Catalog:
-    """Catalog from one JSON document.
-
-    Parsing and flattening run in Spark; the resulting vocabulary is fetched after a check that
-    it has no more than ``max_rows`` rules and names.
-    """
-    tree = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
-    no_names = F.array().cast("array<string>")
+def entry_rows(tree: DataFrame, *lead: str) -> DataFrame:
+    """One row per modality, datatype, entity and suffix of catalog documents, after columns ``lead``."""
 
     def named(kind: str, map_column: str) -> DataFrame:
-        return tree.select(F.posexplode(F.map_entries(map_column)).alias("pos", "e")).select(
+        entries = F.posexplode(F.map_entries(map_column)).alias("pos", "e")
+        return tree.select(*lead, entries).select(
+            *lead,
             F.lit(kind).alias("kind"),
             "pos",
             F.col("e.key").alias("name"),
@@ -237,20 +234,29 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
             F.col("e.value.value").alias("value"),
         )
 
-    names = (
+    return (
         named("modality", "objects.modalities")
         .unionByName(named("datatype", "objects.datatypes"))
         .unionByName(named("entity", "objects.entities"))
         .unionByName(named("suffix", "objects.suffixes"))
     )
+
+
+def rule_rows(tree: DataFrame, *lead: str) -> DataFrame:
+    """One row per rule and datatype of catalog documents, after columns ``lead``."""
+    no_names = F.array().cast("array<string>")
     raw = (
-        tree.select(F.posexplode(F.map_entries("rules.files.raw")).alias("outer", "d"))
+        tree.select(*lead, F.posexplode(F.map_entries("rules.files.raw")).alias("outer", "d"))
+        # The rules of a datatype are a column of their own, else each exploded row would carry them all.
+        .select(*lead, "outer", F.col("d.key").alias("datatype"), F.col("d.value").alias("named"))
         .select(
+            *lead,
             "outer",
-            F.col("d.key").alias("datatype"),
-            F.posexplode(F.map_entries("d.value")).alias("inner", "r"),
+            "datatype",
+            F.posexplode(F.map_entries("named")).alias("inner", "r"),
         )
         .select(
+            *lead,
             F.lit("raw").alias("source"),
             F.col("r.key").alias("rule_name"),
             "outer",
@@ -276,11 +282,15 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
         F.map_values(F.from_json(common_text, T.MapType(T.StringType(), _RULE))),
     )
     common = (
-        tree.select(F.posexplode(common_rules).alias("outer", "r"))
+        tree.select(*lead, F.posexplode(common_rules).alias("outer", "r"))
         .select(
-            "outer", "r", F.posexplode(_names(F.col("r.datatypes"), "values")).alias("inner", "d")
+            *lead,
+            "outer",
+            "r",
+            F.posexplode(_names(F.col("r.datatypes"), "values")).alias("inner", "d"),
         )
         .select(
+            *lead,
             F.lit("common").alias("source"),
             F.concat(F.lit("common_"), F.col("outer").cast("string")).alias("rule_name"),
             "outer",
@@ -291,8 +301,18 @@ def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROW
             _names(F.col("r.extensions"), "values").alias("extensions"),
         )
     )
-    rules = _bounded(raw.unionByName(common), max_rows)
-    vocabulary = sorted(_bounded(names, max_rows), key=lambda r: r["pos"])
+    return raw.unionByName(common)
+
+
+def load_catalog(spark: SparkSession, path: str, max_rows: int = MAX_CATALOG_ROWS) -> Catalog:
+    """Catalog from one JSON document.
+
+    Parsing and flattening run in Spark; the resulting vocabulary is fetched after a check that
+    it has no more than ``max_rows`` rules and names.
+    """
+    tree = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
+    rules = _bounded(rule_rows(tree), max_rows)
+    vocabulary = sorted(_bounded(entry_rows(tree), max_rows), key=lambda r: r["pos"])
     # One document is one row; its lists were bounded by the reader.
     top = tree.select(
         "schema_version", "rules.entities", F.col("rules.modalities").alias("modalities")
@@ -617,19 +637,15 @@ def entity_order_breaks(parsed: DataFrame, catalog: Catalog) -> DataFrame:
 
 def combination_check(parsed: DataFrame, catalog: Catalog) -> DataFrame:
     """Whether some rule allows a path's suffix together with all its entities."""
-    allowed = (
-        entity_suffix_combinations(catalog)
-        .groupBy("datatype", "suffix")
-        .agg(F.collect_list("short_names").alias("allowed_sets"))
-    )
-    fits = F.exists(
-        "allowed_sets", lambda allowed: F.size(F.array_except("entity_keys", allowed)) == 0
-    )
-    return parsed.join(allowed, ["datatype", "suffix"], "left").select(
+    keys = ["datatype", "suffix", "members"]
+    placed = parsed.withColumn("members", F.array_sort(F.array_distinct("entity_keys")))
+    allowed = entity_suffix_combinations(catalog).withColumn("members", F.col("short_names"))
+    found = contained(placed, allowed, ["datatype", "suffix"])
+    return placed.join(found, keys, "left").select(
         *parsed.columns,
-        F.when(F.col("allowed_sets").isNull(), F.lit("unknown suffix"))
-        .when(fits, F.lit("legal"))
-        .otherwise(F.lit("illegal"))
+        F.when(F.col("verdict") == "held", F.lit("legal"))
+        .when(F.col("verdict") == "not held", F.lit("illegal"))
+        .otherwise(F.lit("unknown suffix"))
         .alias("combination"),
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from seriesloom.functions.naming import EXTENSIONS
 from seriesloom.operators import catalog as cat
-from seriesloom.plans.views import PATHS_SQL, SERIES_SQL
+from seriesloom.plans.views import ASKING_SQL, CATALOG_RULES_SQL, PATHS_SQL, SERIES_SQL
 
 KEYS = (
     "protocol_name, series_description, sequence_name, dim1, dim2, dim3, dim4, TR, TE, "
@@ -192,6 +192,21 @@ FROM coerced WHERE protocol_name IS NOT NULL AND series_description IS NOT NULL
     "suffixes": SUFFIXES,
     "entities": ENTITIES,
     "short_names": SHORT,
+    "catalog_rules": f"""
+SELECT version, r.*, ['sub'] || CASE WHEN has_task THEN ['task'] ELSE [] END
+  || CASE WHEN has_run THEN ['run'] ELSE [] END || CASE WHEN has_acq THEN ['acq'] ELSE [] END AS allowed
+FROM ({CATALOG_RULES_SQL}) r, (VALUES ('1.9.0'), ('1.10.0')) v(version)
+WHERE in_first OR version = '1.10.0'""",
+    "rule_sets": "SELECT DISTINCT version, datatype, suffix, allowed FROM catalog_rules",
+    "rule_entities": "SELECT DISTINCT version, datatype, unnest(allowed) AS name FROM catalog_rules",
+    # File names are subject, entities and suffix; "1.10.0" is the later of the two versions.
+    "asking": f"""
+SELECT path_id, datatype, suffix, list_sort(list_transform(parts[:-2], lambda x: string_split(x, '-')[1])) AS keys,
+  CASE WHEN asked IN ('1.9.0', '1.10.0') THEN asked WHEN asked = '2.0.0' THEN NULL ELSE '1.10.0' END
+  AS version
+FROM (SELECT path_id, asked, string_split(path, '/')[2] AS datatype, string_split(file, '_') AS parts,
+    string_split(file, '_')[-1] AS suffix
+  FROM (SELECT *, replace(string_split(path, '/')[3], '.nii.gz', '') AS file FROM ({ASKING_SQL})))""",
 }
 # Which tables each table reads.
 NEEDS = {
@@ -204,6 +219,8 @@ NEEDS = {
     "mapped": ["numbered"],
     "classified": ["coerced"],
     "parsed": ["paths"],
+    "rule_sets": ["catalog_rules"],
+    "rule_entities": ["catalog_rules"],
 }
 
 
@@ -678,6 +695,26 @@ FROM (SELECT u.path_id, s.pos AS p, lag(s.pos) OVER (PARTITION BY u.path_id ORDE
 FROM parsed p LEFT JOIN suffixes s ON s.datatype = p.datatype AND s.suffix = p.suffix
 LEFT JOIN (SELECT datatype, list(short_name) AS allowed FROM entities GROUP BY 1) e
   ON e.datatype = p.datatype""",
+        ),
+        "versioned_conformance": _with(
+            ["asking", "rule_sets", "rule_entities"],
+            """SELECT path_id, version, CASE WHEN version IS NOT NULL THEN known END AS suffix_valid,
+  CASE WHEN version IS NOT NULL THEN array_to_string(list_filter(keys, lambda k: NOT list_contains(
+    COALESCE(names, []), k)), ',') END AS illegal_entities,
+  CASE WHEN version IS NULL THEN NULL WHEN NOT known THEN 'unknown suffix' WHEN fits THEN 'legal'
+    ELSE 'illegal' END AS combination
+FROM (SELECT a.*, EXISTS (SELECT 1 FROM rule_sets s WHERE s.version = a.version
+      AND s.datatype = a.datatype AND s.suffix = a.suffix) AS known,
+    EXISTS (SELECT 1 FROM rule_sets s WHERE s.version = a.version AND s.datatype = a.datatype
+      AND s.suffix = a.suffix AND list_has_all(s.allowed, a.keys)) AS fits FROM asking a) a
+LEFT JOIN (SELECT version AS v, datatype AS d, list(name) AS names FROM rule_entities GROUP BY ALL) e
+  ON e.v = a.version AND e.d = a.datatype""",
+        ),
+        "catalog_dimensions": _with(
+            ["rule_sets", "rule_entities"],
+            """SELECT DISTINCT version, datatype, 'suffix' AS kind, suffix AS name FROM rule_sets
+UNION SELECT version, 'mri', 'suffix', suffix FROM rule_sets
+UNION ALL SELECT version, datatype, 'entity', name FROM rule_entities""",
         ),
         "pattern_coverage": _coverage(combined=False),
         "pattern_coverage_combined": _coverage(combined=True),

@@ -17,6 +17,7 @@ from seriesloom.operators import (
     profile,
     programs,
     rules,
+    versions,
 )
 from seriesloom.plans import views
 from seriesloom.schema import SERIES_SCHEMA
@@ -409,6 +410,39 @@ def pattern_coverage_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.pattern_coverage(_parsed(spark, sf_dir), patterns, catalog)
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> versions.CatalogTables:
+    path = new_path(spark, "catalogs")
+    views.catalog_documents(spark, sf_dir).write.text(path)
+    return versions.load_versions(spark, path, lines=True)
+
+
+@query
+def versioned_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path against the version of the catalog that it asks for."""
+    parsed = cat.parse_paths(views.asking_paths(spark, sf_dir))
+    checked = versions.check_paths(parsed, _versions(spark, sf_dir))
+    return checked.select(
+        "path_id",
+        "version",
+        "suffix_valid",
+        F.array_join("illegal_entities", ",").alias("illegal_entities"),
+        "combination",
+    )
+
+
+@query
+def catalog_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffixes and entities of each version and datatype, ``mri`` included for suffixes."""
+    loaded = _versions(spark, sf_dir)
+    suffixes = versions.suffixes(loaded).select(
+        "version", "datatype", F.lit("suffix").alias("kind"), F.col("suffix").alias("name")
+    )
+    entities = versions.entities(loaded).select(
+        "version", "datatype", F.lit("entity").alias("kind"), F.col("short_name").alias("name")
+    )
+    return suffixes.unionByName(entities)
+
+
 # --- mapping ------------------------------------------------------------------------------------
 
 

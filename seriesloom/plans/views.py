@@ -66,6 +66,36 @@ PATH_COLUMNS = {
 }
 
 
+# Rules of a catalog, one per part; its short entity names are those of the paths below.
+RULE_COLUMNS = {
+    "rule_id": "p.p_partkey",
+    "datatype": "CASE WHEN p.p_size % 2 = 0 THEN 'anat' ELSE 'func' END",
+    "suffix": "concat('S', CAST(p.p_partkey % 50 AS VARCHAR(4)))",
+    "has_task": "p.p_size % 3 = 0",
+    "has_run": "p.p_size % 5 < 2",
+    "has_acq": "p.p_size % 7 = 1 AND p.p_size % 2 = 0",
+    "in_first": "p.p_partkey % 3 <> 0",
+}
+# Paths that name the version of the catalog they want.
+ASKING_COLUMNS = {
+    "path_id": "o.o_orderkey",
+    "path": (
+        "concat('sub-', CAST(o.o_custkey AS VARCHAR(20)), "
+        "CASE WHEN o.o_orderstatus = 'P' THEN '/anat' ELSE '/func' END, "
+        "'/sub-', CAST(o.o_custkey AS VARCHAR(20)), "
+        "CASE WHEN o.o_orderkey % 3 = 0 THEN '_task-rest' ELSE '' END, "
+        "CASE WHEN o.o_orderkey % 4 = 0 THEN '_acq-fast' ELSE '' END, "
+        "CASE WHEN o.o_orderkey % 5 = 0 THEN '_run-1' ELSE '' END, "
+        "CASE WHEN o.o_orderkey % 11 = 0 THEN '_foo-1' ELSE '' END, "
+        "'_S', CAST(o.o_orderkey % 60 AS VARCHAR(4)), '.nii.gz')"
+    ),
+    "asked": (
+        "CASE o.o_custkey % 6 WHEN 0 THEN 'latest' WHEN 1 THEN '1.9.0' WHEN 2 THEN '1.10.0' "
+        "WHEN 3 THEN 'nightly' WHEN 4 THEN '2.0.0' ELSE NULL END"
+    ),
+}
+
+
 def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
 
@@ -76,6 +106,8 @@ SERIES_SQL = (
     "FROM events e JOIN part p ON p.p_partkey = e.event_id % (SELECT count(*) FROM part)"
 )
 PATHS_SQL = f"SELECT {_select(PATH_COLUMNS)} FROM orders o"
+CATALOG_RULES_SQL = f"SELECT {_select(RULE_COLUMNS)} FROM part p"
+ASKING_SQL = f"SELECT {_select(ASKING_COLUMNS)} FROM orders o"
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +123,48 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.selectExpr(*[f"{e} AS {n}" for n, e in PATH_COLUMNS.items()])
 
 
+def asking_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").alias("o")
+    return orders.selectExpr(*[f"{e} AS {n}" for n, e in ASKING_COLUMNS.items()])
+
+
+def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents, one per rule and version: all rules are in 1.10.0, two thirds in 1.9.0."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").alias("p")
+    rules = part.selectExpr(*[f"{e} AS {n}" for n, e in RULE_COLUMNS.items()])
+    versions = F.when(F.col("in_first"), F.array(F.lit("1.9.0"), F.lit("1.10.0"))).otherwise(
+        F.array(F.lit("1.10.0"))
+    )
+    given = F.array_compact(
+        F.array(
+            F.lit("subject"),
+            F.when(F.col("has_task"), F.lit("task")),
+            F.when(F.col("has_run"), F.lit("run")),
+            F.when(F.col("has_acq"), F.lit("acquisition")),
+        )
+    )
+    needs = F.transform(given, lambda e: F.when(e == "subject", "required").otherwise("optional"))
+    short = {"subject": "sub", "task": "task", "run": "run", "acquisition": "acq"}
+    entities = F.create_map(
+        *[x for e, s in short.items() for x in (F.lit(e), F.struct(F.lit(s).alias("name")))]
+    )
+    rule = F.struct(
+        F.array("suffix").alias("suffixes"), F.map_from_arrays(given, needs).alias("entities")
+    )
+    raw = F.create_map(
+        F.col("datatype"), F.create_map(F.concat(F.lit("rule-"), F.col("rule_id")), rule)
+    )
+    return rules.withColumn("version", F.explode(versions)).select(
+        F.to_json(
+            F.struct(
+                F.col("version").alias("schema_version"),
+                F.struct(entities.alias("entities")).alias("objects"),
+                F.struct(F.struct(raw.alias("raw")).alias("files")).alias("rules"),
+            )
+        ).alias("value")
+    )
+
+
 # --- model answers built from known columns -----------------------------------------------------
 
 # Five kinds of answer, by position: complete; path to be rebuilt; unknown datatype; entities
