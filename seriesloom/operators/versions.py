@@ -211,7 +211,8 @@ def check_paths(parsed: DataFrame, tables: CatalogTables) -> DataFrame:
 
     Paths without a version that answers them have null checks. ``illegal_entities`` are the sorted
     short names that no rule of the datatype allows. Paths are first reduced to their distinct shapes
-    on the map side, so the checks work on those and the paths meet the result in one join.
+    on the map side, so the checks work on those and the paths meet the result in one join, which is a
+    broadcast where the shapes are few and else left to adaptive skew handling of common shapes.
     """
     taken = {"version", "members", "named", "verdict", "illegal", "listed"} & set(parsed.columns)
     if taken:

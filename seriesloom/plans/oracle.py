@@ -562,6 +562,11 @@ FROM conversations""",
   arg_min(session, o) AS session, arg_min(example_dcm_file, o) AS example_dcm_file,
   arg_min(dcm_dir_name, o) AS dcm_dir_name FROM ingested GROUP BY ALL)""",
         ),
+        "answer_store": """
+SELECT conv_id, turn, CASE WHEN length(text) % 10 < 2 THEN 2 WHEN text IS NOT NULL THEN 1 END AS attempts,
+  CASE WHEN length(text) % 10 > 1 THEN string_split(text, ' ')[1] || ':' || length(text) END AS answer,
+  CASE length(text) % 10 WHEN 0 THEN 'ValueError: refused' WHEN 1 THEN 'no answer' END AS error
+FROM conversations""",
         "conversation_programs": """
 SELECT conv_id, turn, contains(text, 'from heudiconv.utils import SeqInfo') AS has_imports,
   contains(text, 'def create_key(') AS has_create_key,

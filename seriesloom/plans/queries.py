@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import catalog as cat
 from seriesloom.operators import (
+    answers,
     classify,
     grouping,
     incremental,
@@ -498,6 +499,29 @@ def model_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapping_columns(mapped, "group_id")
 
 
+@query
+def answer_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of asking over the conversations: all, those that failed, none."""
+
+    def load():
+        def answer(texts: list[str]) -> list[str | None]:
+            if any(len(t) % 10 == 0 for t in texts):
+                raise ValueError("refused")
+            return [None if len(t) % 10 == 1 else f"{t.split(' ')[0]}:{len(t)}" for t in texts]
+
+        return answer
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    prompts = turns.withColumnRenamed("text", "prompt")
+    store = new_path(spark, "answers")
+    for _ in range(3):
+        answers.ask_missing(
+            prompts, store, load, tasks=int(spark.conf.get("spark.sql.shuffle.partitions"))
+        )
+    found = answers.with_answers(prompts, store)
+    return found.select("conv_id", "turn", "attempts", "answer", "error")
+
+
 @query
 def response_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     recovered = inference.recover_mappings(views.mapping_answers(_batched(spark, sf_dir)))
