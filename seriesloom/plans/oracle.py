@@ -7,10 +7,40 @@ were built from.
 
 from __future__ import annotations
 
-from seriesloom.functions.naming import EXTENSIONS
-from seriesloom.operators import catalog as cat
 from seriesloom.plans.views import ASKING_SQL, CATALOG_RULES_SQL, PATHS_SQL, SERIES_SQL
 
+# Fixed values of the standard, written out here so that a slip in the implementation shows.
+EXTENSIONS = [".nii.gz", ".nii", ".json", ".tsv", ".bval", ".bvec"]
+MRI_DATATYPES = ["anat", "func", "fmap", "dwi", "perf"]
+DATATYPE_SUFFIXES = {
+    "anat": ["T1w", "T2w", "FLAIR"],
+    "func": ["bold"],
+    "fmap": ["magnitude", "phasediff", "fieldmap"],
+    "dwi": ["dwi"],
+    "perf": ["asl"],
+}
+# Long and short names in the standard's order.
+ENTITY_SHORT = {
+    "subject": "sub",
+    "session": "ses",
+    "task": "task",
+    "acquisition": "acq",
+    "run": "run",
+    "echo": "echo",
+    "direction": "dir",
+    "reconstruction": "rec",
+    "space": "space",
+    "description": "desc",
+}
+ENTITY_ORDER = list(ENTITY_SHORT)
+DATATYPE_ENTITIES = {
+    "anat": ["subject", "session", "acquisition", "run", "reconstruction"],
+    "func": ["subject", "session", "acquisition", "run", "reconstruction", "task", "echo"],
+    "fmap": ["subject", "session", "acquisition", "run", "reconstruction", "direction"],
+    "dwi": ["subject", "session", "acquisition", "run", "reconstruction", "direction"],
+    "perf": ["subject", "session", "acquisition", "run", "reconstruction"],
+}
+
 KEYS = (
     "protocol_name, series_description, sequence_name, dim1, dim2, dim3, dim4, TR, TE, "
     "is_derived, is_motion_corrected, image_type"
@@ -144,19 +174,19 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 
 SUFFIXES = _values(
-    [(d, s, i) for d, names in cat.DATATYPE_SUFFIXES.items() for i, s in enumerate(names)],
+    [(d, s, i) for d, names in DATATYPE_SUFFIXES.items() for i, s in enumerate(names)],
     "datatype, suffix, pos",
 )
 ENTITIES = _values(
     [
-        (d, e, cat.ENTITY_SHORT[e], i)
-        for d, names in cat.DATATYPE_ENTITIES.items()
+        (d, e, ENTITY_SHORT[e], i)
+        for d, names in DATATYPE_ENTITIES.items()
         for i, e in enumerate(names)
     ],
     "datatype, entity, short_name, pos",
 )
 SHORT = _values(
-    [(e, cat.ENTITY_SHORT[e], i) for i, e in enumerate(cat.ENTITY_ORDER)],
+    [(e, ENTITY_SHORT[e], i) for i, e in enumerate(ENTITY_ORDER)],
     "entity, short_name, pos",
 )
 
@@ -251,11 +281,11 @@ def _validate(known: list[str], entity_names: list[str]) -> str:
     in_known = ", ".join(f"'{n}'" for n in known)
     in_names = ", ".join(f"'{n}'" for n in entity_names)
     valid_list = " ".join(
-        f"WHEN '{d}' THEN '{_listed(s)}'" for d, s in cat.DATATYPE_SUFFIXES.items()
+        f"WHEN '{d}' THEN '{_listed(s)}'" for d, s in DATATYPE_SUFFIXES.items()
     )
     suffix_ok = " OR ".join(
         f"(datatype = '{d}' AND suffix = '{s}')"
-        for d, names in cat.DATATYPE_SUFFIXES.items()
+        for d, names in DATATYPE_SUFFIXES.items()
         for s in names
     )
     endings = " OR ".join(f"ends_with(path, '{e}')" for e in EXTENSIONS)
@@ -285,8 +315,8 @@ def _pattern_rows(combined: bool) -> list[tuple[str, str, str, str, str]]:
     from itertools import combinations
 
     rows = []
-    for datatype, suffixes in cat.DATATYPE_SUFFIXES.items():
-        free = [e for e in cat.DATATYPE_ENTITIES[datatype] if e not in ("subject", "session")]
+    for datatype, suffixes in DATATYPE_SUFFIXES.items():
+        free = [e for e in DATATYPE_ENTITIES[datatype] if e not in ("subject", "session")]
         sizes = (0, 1, 2, 3) if combined else (0, 1)
         for suffix in suffixes:
             for chosen in (c for n in sizes for c in combinations(free, n)):
@@ -294,7 +324,7 @@ def _pattern_rows(combined: bool) -> list[tuple[str, str, str, str, str]]:
                 key = "_".join(["full", *parts] if combined else parts)
                 named = "".join(
                     "_run-{item:02d}" if e == "run" else f"_{e}-{{{e}}}"
-                    for e in cat.ENTITY_ORDER
+                    for e in ENTITY_ORDER
                     if e in chosen
                 )
                 pattern = (
@@ -532,7 +562,7 @@ FROM (SELECT *, md5(concat_ws(':', string_split(path, '/')[-1], length,
 
 
 def sql() -> dict[str, str]:
-    known_short = list(cat.ENTITY_SHORT.values())
+    known_short = list(ENTITY_SHORT.values())
     return {
         "consolidated": _with(
             ["series"],
@@ -669,8 +699,8 @@ FROM classified""",
   || COALESCE('_task-' || task, '') || COALESCE('_direction-' || direction, '') || '_' || suffix
   AS path_template FROM classified""",
         ),
-        "validate_paths": _validate(cat.MRI_DATATYPES, known_short),
-        "validate_paths_strict": _validate(["mri"], cat.ENTITY_ORDER),
+        "validate_paths": _validate(MRI_DATATYPES, known_short),
+        "validate_paths_strict": _validate(["mri"], ENTITY_ORDER),
         "suffix_conformance": _with(
             ["parsed", "suffixes"],
             """SELECT path_id, p.datatype, p.suffix, s.pos IS NOT NULL AS suffix_valid
