@@ -645,16 +645,18 @@ def rule_program(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of each key in input order, by way of chunks of at most 100.
 
-    A key without series has one row of position 0.
+    A key without series has one row of position 0. Keys that ask for the same share one list.
     """
     table = _rules(spark, sf_dir, VARIANT_CONTEXT)
+    shared = stage(rules.shared_keys(table, VARIANT_CONTEXT), "shared")
+    own = stage(table.join(shared.where("key_name = shared_key"), ["study", "key_name"], "left_semi"), "own")
     matches = rules.apply_rules(
-        table,
+        own,
         views.series(spark, sf_dir),
         _tuples(spark, sf_dir, VARIANT_CONTEXT),
         VARIANT_CONTEXT,
     )
-    lists = postings.posting_lists(matches, table, chunk=100)
+    lists = postings.shared_lists(postings.posting_lists(matches, own, chunk=100), shared)
     return postings.listed_matches(lists, chunk=100).select(
         "key_name",
         F.coalesce("position", F.lit(0)).alias("position"),
