@@ -26,10 +26,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Operator 7: of each group of near copies the document with the smallest id stays.
 
-    Near copies: the shingles of five words of the two whole texts have a Jaccard similarity of 0.8 or more.
-    Operator 7 links by fingerprints alone, which does not tell that.
+    The operator's links are candidates. Near copies are those for which the shingles of five words of the two
+    whole texts have a Jaccard similarity of 0.8 or more; those beyond its radius are looked for as well.
     """
     return nearcopies.first_of_each(docs)
 

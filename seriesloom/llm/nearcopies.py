@@ -1,15 +1,19 @@
-"""Near copies by the exact similarity of their word shingles, for the pipeline.
+"""Near copies for the pipeline: found by operator 7, decided by the exact similarity of word shingles.
 
 Two texts are near copies if the Jaccard similarity of their sets of shingles is at least
 ``SIMILARITY``; equal texts (but for case and white space) are copies without a test. Components of
 these links are the groups.
 
-Candidates. Each text has ``BANDS`` keys, each of ``ROWS`` minima of independently multiplied shingle
+Candidates of operator 7. Every different text has its fingerprint, and the operator's covering tables link the
+fingerprints within its radius; texts of one fingerprint, and the first texts of linked ones, are candidates.
+
+Further candidates. At a similarity of 0.8 most fingerprints differ in more bits than that radius. So
+that none of these is lost, each text has ``BANDS`` keys too, each of ``ROWS`` minima of independently multiplied shingle
 hashes; texts that share a key meet in its bucket. Texts with a similarity ``s`` share none with
-probability ``(1 - s ** 5) ** 30``: 7e-6 at 0.8, less above. No other pair is compared.
+probability ``(1 - s ** 5) ** 30``: 7e-6 at 0.8, less above.
 
-Decision. Every candidate is decided by the whole texts, never by its keys. First each text of a bucket is
-tested against one of its bucket. Then buckets that still hold several groups are tested pair by
+Decision. Every candidate is decided by the whole texts, never by its fingerprints or keys. First the
+operator's links are tested, and each text of a bucket against one of its bucket. Then buckets that still hold several groups are tested pair by
 pair, but for pairs that are in one group by then, so a text that is unlike the first one still finds
 its copy.
 
@@ -31,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm import simhash
 from seriesloom.llm.common import packed, slices, whole_text
 from seriesloom.llm.components import component_labels, stars
 from seriesloom.llm.simhash import shingles, xxh64
@@ -88,7 +93,7 @@ def alike(shared: np.ndarray | int, one: np.ndarray | int, other: np.ndarray | i
 
 
 def _print_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest, number of shingles and bucket keys of every whole text."""
+    """doc_id, digest, operator 7's fingerprint, number of shingles and bucket keys of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=1 << 19):
@@ -101,14 +106,15 @@ def _print_table(docs: DataFrame, words: int) -> DataFrame:
             columns = [
                 batch.column("doc_id"),
                 pa.array(digests(texts)),
+                pa.array(simhash.fingerprints(texts).view(np.int64)),
                 pa.array(number),
                 pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sim", "n", "keys"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, fp bigint, n bigint, keys array<bigint>"
+        run, f"doc_id {id_type}, fp bigint, sim bigint, n bigint, keys array<bigint>"
     )
 
 
@@ -157,6 +163,26 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of texts that operator 7 links, with their numbers of shingles.
+
+    Each text with the first of its fingerprint, and the first texts of the fingerprints that span a component.
+    """
+    firsts = stage(
+        distinct.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("text"), F.max("fp").alias("last")),
+        "near-fingerprints",
+    )
+    shared = firsts.where("text.fp < last").select("sim", F.col("text").alias("x"))
+    same = distinct.join(shared, "sim").where("fp <> x.fp").select("x", F.struct("fp", "n").alias("y"))
+    links = simhash.fingerprint_links(firsts.select(F.col("sim").alias("fp"))).distinct()
+    one, other = (firsts.select(F.col("sim").alias(c), F.col("text").alias(x)) for c, x in ("ax", "by"))
+    across = links.join(one, "a").join(other, "b").select("x", "y")
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return same.unionByName(across).select(
+        low["fp"].alias("a"), low["n"].alias("n_a"), high["fp"].alias("b"), high["n"].alias("n_b")
+    )
+
+
 def links_between(
     sets: list[np.ndarray], groups: list[int], blocks: list[int]
 ) -> list[tuple[int, int]]:
@@ -229,10 +255,13 @@ def _linked(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFram
     prints = stage(_print_table(docs, words), "near-prints")
     distinct = stage(
         prints.groupBy("fp").agg(
-            F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")
+            F.min("doc_id").alias("first"),
+            *[F.first(c).alias(c) for c in ("sim", "n", "keys")],
         ),
         "near-distinct",
     )
+    near = fingerprint_pairs(distinct).where(alike(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
+    near = stage(near.select("a", "b"), "near-pairs")
     keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(
         F.min(F.struct("fp", "n")).alias("centre"), F.max("fp").alias("last")
@@ -241,10 +270,12 @@ def _linked(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFram
         "key", F.col("centre.fp").alias("a"), F.col("centre.n").alias("n_a")
     )
     buckets = stage(keyed.join(met, "key"), "near-buckets")
-    wanted = distinct.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", "first")
+    needed = buckets.select("fp").unionByName(near.select(F.explode(F.array("a", "b")).alias("fp")))
+    wanted = distinct.join(needed.distinct(), "fp", "left_semi").select("fp", "first")
     texts = stage(_texts_of(docs, wanted), "near-texts")
     fits = alike(F.least("n", "n_a"), F.col("n"), F.col("n_a"))
-    pairs = buckets.where((F.col("fp") != F.col("a")) & fits).select("a", F.col("fp").alias("b")).distinct()
+    pairs = buckets.where((F.col("fp") != F.col("a")) & fits).select("a", F.col("fp").alias("b"))
+    pairs = near.unionByName(pairs).distinct()
     links = stage(similar(pairs, texts, words), "near-links")
     links = links.unionByName(stage(further_links(buckets, links, texts, words), "near-links"))
     return prints, distinct, links

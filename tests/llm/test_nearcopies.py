@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seriesloom.llm import nearcopies, simhash
@@ -111,3 +112,46 @@ def test_awkward_rows(spark):
         [(1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (8, 8), (None, None), (9, 9)], key=str
     )
     assert rows_of(nearcopies.components(awkward(spark).limit(0))) == []
+
+
+def _fingerprint(words):
+    return int(simhash.fingerprints([" ".join(words).encode()])[0])
+
+
+def _near_families(seed):
+    """Long texts with one or two words changed, so that many fingerprints are within the radius."""
+    rnd, texts = random.Random(seed), []
+    for _ in range(8):
+        base = _words(rnd, 300)
+        texts += [base, *(_edited(rnd, base, rnd.choice([1, 1, 2, 5])) for _ in range(4))]
+    return texts
+
+
+def test_operator_7_links_are_tested_pairs(spark):
+    texts = _near_families(5) + [["a"], ["b"], ["A"]]
+    prints = nearcopies._print_table(_docs(spark, [" ".join(t) for t in texts]), 5)
+    distinct = prints.dropDuplicates(["fp"]).cache()
+    fps = {r["fp"]: texts[r["doc_id"]] for r in distinct.collect()}
+    label = {fp: fp for fp in fps}
+    for a, _, b, _ in rows_of(nearcopies.fingerprint_pairs(distinct)):
+        assert a < b and (_fingerprint(fps[a]) ^ _fingerprint(fps[b])).bit_count() <= simhash.RADIUS
+        label = {k: label[a] if x == label[b] else x for k, x in label.items()}
+    near = [(a, b) for a in fps for b in fps if a < b and (_fingerprint(fps[a]) ^ _fingerprint(fps[b])).bit_count() <= 4]
+    assert len(near) > 8 and all(label[a] == label[b] for a, b in near)
+
+
+def test_copies_are_found_by_operator_7_without_other_keys(spark, monkeypatch):
+    """Links of the operator reach the exact test by themselves; those that fail it link nothing."""
+    prints = nearcopies._print_table
+    monkeypatch.setattr(
+        nearcopies, "_print_table", lambda *a: prints(*a).withColumn("keys", F.array().cast("array<bigint>"))
+    )
+    rnd, pairs = random.Random(6), []
+    while len(pairs) < 16:
+        alike = len(pairs) < 10
+        a = _words(rnd, 120 if alike else 60)
+        b = _edited(rnd, a, 1 if alike else 3)
+        near = (_fingerprint(a) ^ _fingerprint(b)).bit_count() <= simhash.RADIUS
+        if near and (_similarity(a, b) >= 0.8) == alike:
+            pairs.append((" ".join(a), " ".join(b)))
+    assert _kept(spark, [t for p in pairs for t in p]) == set(range(32)) - set(range(1, 20, 2))
